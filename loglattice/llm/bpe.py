@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,11 +112,17 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(1)
+def shared_codec(path: str, pattern: str) -> Codec:
+    """One codec for each Python worker, which outlives a task."""
+    return Codec(path, pattern)
+
+
 def round_trips(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document's whole text."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks_path, pattern)
+        codec = shared_codec(ranks_path, pattern)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for x in batch.column(1):
@@ -132,7 +139,7 @@ def tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int), decoded text: the general form of the operator."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks_path, pattern)
+        codec = shared_codec(ranks_path, pattern)
         for batch in batches:
             ids = [codec.encode(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([codec.decode(x).decode() for x in ids], pa.string())], ["doc_id", "ids", "decoded"])

@@ -28,6 +28,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -199,6 +200,12 @@ class WordEncoder:
             yield b"".join(map(of, words))
 
 
+@lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for each Python worker, which outlives a task."""
+    return WordEncoder(path)
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, tokens_per_segment: int = 1 << 20) -> None:
     """Encode every document and write the file at ``path``."""
     spark = docs.sparkSession
@@ -207,7 +214,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, toke
         from pyspark import TaskContext
 
         part, segment, first = TaskContext.get().partitionId(), 0, 0
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         ids, names, counts, n = [], [], [], 0
 
