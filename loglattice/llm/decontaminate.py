@@ -170,7 +170,7 @@ WITH cut AS (
 listed AS (
   SELECT kind, id, r, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]', ' ', 'g'), '[^\x20\x09-\x0D]+') AS w FROM cut),
 shingled AS (
-  SELECT DISTINCT kind, id, r, unnest(list_transform(range(0, greatest(len(w) - 4, 1)), i -> array_to_string(w[i + 1:i + 5], ' '))) AS s FROM listed WHERE len(w) > 0),
+  SELECT DISTINCT kind, id, r, unnest(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM listed WHERE len(w) > 0),
 sized AS (SELECT r, count(*) AS n FROM shingled WHERE kind = 1 GROUP BY r)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(z.n) AS n_shingles, count(*) / any_value(z.n) AS containment
 FROM shingled d JOIN shingled i ON d.kind = 0 AND i.kind = 1 AND d.s = i.s JOIN sized z ON z.r = i.r
