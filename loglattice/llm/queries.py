@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, substrings
 from .common import read_table
 
 
@@ -16,6 +16,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_repeats import without_repeats
+
+    return without_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secrets
 
@@ -64,13 +74,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_simhash": op4_simhash,
     "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substrings.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL}
