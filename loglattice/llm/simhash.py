@@ -15,6 +15,9 @@ links grow with the fingerprints. A bucket of more than ``heavy`` fingerprints i
 split further by cells of two pivot coordinates, each fingerprint going to its own
 cell and the one above; any pair within the radius meets in some cell.
 
+``copies`` is the operator for copies by Jaccard similarity of word shingles, which three
+bits of 64 cannot see: see there.
+
 Texts without words, null ones among them, have fingerprint zero and link like any
 other. Null doc_ids keep a row; they have the component of their fingerprint, which
 is null if no document with an id is in it. Repeated rows give repeated rows. Extra
@@ -92,15 +95,18 @@ def masks(radius: int) -> list[int]:
 
 
 def connected(fps: np.ndarray, table: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Sets of two or more of ``fps`` (distinct) that links connect, as index arrays."""
+    """The links (rows of two indexes) that connect each connected set of ``fps``, a row of 64-bit words each.
+
+    A set of m fingerprints gives m - 1 links, in the order of a search from one of them.
+    """
     n = len(fps)
     if n == 2:
-        return [np.arange(2)] if int(fps[0] ^ fps[1]).bit_count() <= radius else []
+        return [np.array([[0, 1]])] if int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= radius else []
     order = np.argsort(table[:, 0], kind="stable")
     first = table[order, 0].astype(np.int64)
     waiting, out = order, []
     while len(waiting) > 1:
-        queue, members = [waiting[0]], [waiting[0]]
+        queue, pairs = [waiting[0]], []
         waiting, first = waiting[1:], first[1:]
         while queue and len(waiting):
             x = queue.pop()
@@ -111,14 +117,14 @@ def connected(fps: np.ndarray, table: np.ndarray, radius: int) -> list[np.ndarra
                 if len(near) < 8:
                     break
                 near = near[np.abs(table[near, j].astype(np.int64) - int(table[x, j])) <= radius]
-            near = near[np.bitwise_count(fps[near] ^ fps[x]) <= radius]
+            near = near[np.bitwise_count(fps[near] ^ fps[x]).sum(1, dtype=np.int64) <= radius]
             if len(near):
                 queue += near.tolist()
-                members += near.tolist()
+                pairs.append(np.column_stack((np.full(len(near), x), near)))
                 rest = ~np.isin(waiting, near)
                 waiting, first = waiting[rest], first[rest]
-        if len(members) > 1:
-            out.append(np.array(members))
+        if pairs:
+            out.append(np.concatenate(pairs))
     return out
 
 
@@ -156,8 +162,8 @@ def links(nodes: DataFrame, radius: int = 3, heavy: int = 50_000) -> DataFrame:
         a, b = [], []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if hi - lo > 1:
-                for members in connected(fps[lo:hi], table[lo:hi], radius):
-                    chain = np.sort(reps[lo + members])
+                for pairs in connected(fps[lo:hi, None], table[lo:hi], radius):
+                    chain = np.unique(reps[lo + pairs])
                     a.append(chain[:-1])
                     b.append(chain[1:])
         if a:
@@ -198,3 +204,99 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     roots = components(links(nodes, radius))
     classes = written(nodes.select("fp", "rep").join(roots, F.col("rep") == F.col("v"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "classes")
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+BITS, TABLES, SAMPLED = 256, 64, 22
+
+
+def wide(text: str | None, words: int) -> tuple[bytes, np.ndarray]:
+    """A fingerprint of ``BITS`` bits over the distinct word shingles of a text, and their hashes."""
+    import xxhash
+
+    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, words)), np.uint64))
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 1 << 13):
+        some = hashes[i : i + (1 << 13)]
+        with np.errstate(over="ignore"):
+            lanes = np.column_stack([(some ^ some >> np.uint64(31 + j)) * np.uint64(_mixed(99 + j) | 1) for j in range(BITS // 64)])
+            lanes ^= lanes >> np.uint64(32)
+        ones += np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), hashes
+
+
+def wide_references() -> np.ndarray:
+    return np.array([[_mixed(1000 + 8 * i + j) for j in range(BITS // 64)] for i in range(PIVOTS)], np.uint64)
+
+
+def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: int = 7) -> DataFrame:
+    """doc_id, component_id of every document with an id: groups of copies by links of at least ``similarity``.
+
+    Similarity is the Jaccard index of the sets of word shingles. At 0.8 some 38 of 256 bits
+    differ, too many for blocks, so candidates meet where ``SAMPLED`` bits, at fixed places
+    for each of ``TABLES`` tables, are equal; the pivot table discards and the fingerprints
+    verify at the angle of ``similarity`` and ``slack`` bits more; links found so are
+    verified by the exact index. The sampling finds a pair at 0.9 in over 99 of 100 cases
+    and one at 0.8 in about 9 of 10; equal texts are found always.
+    """
+    radius = int(BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
+    places = np.random.default_rng(4).permuted(np.tile(np.arange(BITS), (TABLES, 1)), axis=1)[:, :SAMPLED]
+    powers = 1 << np.arange(SAMPLED, dtype=np.int64)
+    known = docs.filter("doc_id is not null")
+
+    def sketch(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([wide(x.as_py(), words)[0] for x in batch.column(1)], pa.binary())], ["doc_id", "fp"])
+
+    def keys(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
+                bits = np.unpackbits(np.frombuffer(b"".join(some.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
+                found = (bits[:, places].astype(np.int64) @ powers) << 6 | np.arange(TABLES)
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(some.column(1).to_numpy(), TABLES))], ["key", "rep"])
+
+    def hashes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([wide(x.as_py(), words)[1].view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], ["v", "shingles"])
+
+    def solve(rows: pa.Table):
+        key, rep = rows.column("key").to_numpy(), rows.column("rep").to_numpy()
+        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        table = np.bitwise_count(fps[:, None, :] ^ wide_references()).sum(2, dtype=np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        found = [rep[lo + x] for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for x in connected(fps[lo:hi], table[lo:hi], radius)]
+        if found:
+            pairs = np.sort(np.concatenate(found), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    def buckets(batches):
+        rest = None
+        for batch in batches:
+            rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
+            key = rest.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if cut:
+                yield from solve(rest.slice(0, cut))
+                rest = rest.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from solve(rest)
+
+    fps = written(known.select("doc_id", "text").mapInArrow(sketch, "doc_id long, fp binary"), "wide-fingerprints")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-nodes")
+    keyed = written(nodes.mapInArrow(keys, "key long, rep long"), "wide-keys")
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "wide-buckets")
+    met = keyed.join(shared, "key").join(nodes, "rep").select("key", "rep", "fp")
+    pairs = written(met.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(buckets, "a long, b long").distinct(), "wide-pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = written(known.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(hashes, "v long, shingles array<long>"), "shingles")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    links = both.filter(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+    classes = nodes.join(components(links), F.col("rep") == F.col("v"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return fps.join(written(classes, "classes"), "fp").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with the document of smallest id of each group of copies; rows without an id stay."""
+    gone = written(copies(docs, words, similarity).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
