@@ -13,11 +13,11 @@ labelled training rows. The loss is logistic, so the score is a probability.
 Fitted on bounded samples (``max_positive`` and ``max_unlabelled`` documents,
 smallest hash of doc_id first; ``max_words`` features that differ by ``least_z`` deviations); scoring covers every whole text.
 Features are the words of a text, runs between white space, lower-cased and without
-punctuation at their ends, and their first three to six letters, since inflected
-forms share a stem.
+punctuation at their ends, and their first four to six letters, since inflected
+forms share a stem: whether one, two or three different words of the text have it.
 
 Null and empty texts have no words and get the score of the bias alone. Without
-confirmed positives, or without documents, the score is the prior. Null labels count
+confirmed positives, or without documents, every score is low and the same. Null labels count
 as unlabelled; extra columns are ignored; repeated rows are scored alike.
 """
 
@@ -32,76 +32,77 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 ENDS = string.punctuation
 
 
-STEMS = (3, 4, 5, 6)
+STEMS, LEVELS = (4, 5, 6), 3
 
 
-def features_of(word: str) -> list[str]:
-    word = word.strip(ENDS)
-    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)] if word else []
+def stems_of(word: str) -> list[str]:
+    return [word[:k] for k in STEMS if len(word) > k]
 
 
-def words_of(text: str | None) -> set[str]:
-    return {f for x in set((text or "").lower().split()) for f in features_of(x)}
+def features_of(text: str | None) -> set[str]:
+    words = {x.strip(ENDS) for x in set((text or "").lower().split())} - {""}
+    stems = Counter(stem for word in words for stem in stems_of(word))
+    return words | {f"{stem}*{i}" for stem, n in stems.items() for i in range(1, min(n, LEVELS) + 1)}
 
 
 @dataclass
 class Linear:
+    """Weights of features; ``known`` keeps, for words met, which of those with a weight they bear on."""
+
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
     known: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
+    def __post_init__(self) -> None:
+        self.stems = {f.rpartition("*")[0] for f in self.weights if "*" in f}
+
     def score(self, text: str | None) -> float:
         known, found = self.known, set()
         if len(known) > 400_000:
             known.clear()
-        for word in set((text or "").lower().split()):
-            hits = known.get(word)
+        for raw in set((text or "").lower().split()):
+            hits = known.get(raw)
             if hits is None:
-                hits = known[word] = tuple(f for f in features_of(word) if f in self.weights)
-            if hits:
-                found.update(hits)
-        z = self.bias + sum(map(self.weights.__getitem__, sorted(found)))
+                word = raw.strip(ENDS)
+                hits = known[raw] = (word,) if word in self.weights or not self.stems.isdisjoint(stems_of(word)) else ()
+            found.update(hits)
+        stems = Counter(stem for word in found for stem in stems_of(word))
+        features = found | {f"{stem}*{i}" for stem, n in stems.items() for i in range(1, min(n, LEVELS) + 1)}
+        z = self.bias + sum(self.weights[f] for f in sorted(features) if f in self.weights)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _design(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    rows, columns = [], []
-    for i, words in enumerate(sets):
-        found = [index[w] for w in words if w in index]
-        rows += [i] * len(found)
-        columns += found
-    return np.array(rows, np.int64), np.array(columns, np.int64)
+@dataclass
+class Sample:
+    """Sampled documents as pairs of row and feature number, positives and unlabelled apart."""
+
+    features: list[str]
+    positive: int
+    unlabelled: int
+    p_rows: np.ndarray
+    p_features: np.ndarray
+    u_rows: np.ndarray
+    u_features: np.ndarray
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, max_words: int = 2000, least_z: float = 4.5, least_share: float = 0.015, steps: int = 250, rate: float = 0.1, penalty: float = 2e-4) -> Linear:
-    """Train on the words of positive and unlabelled documents."""
+def fit(sample: Sample, prior: float, steps: int = 250, rate: float = 0.1, penalty: float = 2e-4) -> Linear:
+    """Minimise the corrected risk by Adam; the best weights met are kept."""
     prior = min(max(prior, 1e-4), 0.9)
     start = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
+    np_, nu, width = sample.positive, sample.unlabelled, len(sample.features)
+    if not np_ or not nu:
         return Linear(start)
-    p_count, u_count = Counter(w for s in positive for w in s), Counter(w for s in unlabelled for w in s)
-    np_, nu = len(positive), len(unlabelled)
-
-    def gain(word: str) -> float:
-        a, b = p_count[word], u_count[word]
-        pooled = (a + b + 1) / (np_ + nu + 2)
-        return abs(a / np_ - b / nu) / np.sqrt(pooled * (1 - pooled) * (1 / np_ + 1 / nu))
-
-    least = max(3, round(least_share * np_))
-    ranked = sorted((-gain(w), w) for w, n in p_count.items() if n >= least)[:max_words]
-    vocabulary = [w for z, w in ranked if -z >= least_z]
-    index = {w: i for i, w in enumerate(vocabulary)}
-    p_at, u_at = _design(positive, index), _design(unlabelled, index)
-    width = len(vocabulary)
     w, b = np.zeros(width), start
     m1, m2 = np.zeros(width + 1), np.zeros(width + 1)
     best, kept = np.inf, (w, b)
     for step in range(1, steps + 1):
-        zp = b + np.bincount(p_at[0], w[p_at[1]], np_)
-        zu = b + np.bincount(u_at[0], w[u_at[1]], nu)
+        zp = b + np.bincount(sample.p_rows, w[sample.p_features], np_)
+        zu = b + np.bincount(sample.u_rows, w[sample.u_features], nu)
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -40, 40))), 1 / (1 + np.exp(-np.clip(zu, -40, 40)))
         on_positive = prior * np.logaddexp(0, -zp).mean()
         on_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -110,32 +111,49 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, max_
             best, kept = risk, (w.copy(), b)
         negative = (su / nu, -prior * sp / np_)  # derivatives of the risk on negatives
         gu, gp = (negative[0], prior * (sp - 1) / np_ + negative[1]) if on_negative >= 0 else (-negative[0], -negative[1])
-        grad = np.append(np.bincount(p_at[1], gp[p_at[0]], width) + np.bincount(u_at[1], gu[u_at[0]], width) + penalty * w, gp.sum() + gu.sum())
+        grad = np.append(np.bincount(sample.p_features, gp[sample.p_rows], width) + np.bincount(sample.u_features, gu[sample.u_rows], width) + penalty * w, gp.sum() + gu.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Linear(float(kept[1]), dict(zip(vocabulary, kept[0].tolist(), strict=True)))
+    return Linear(float(kept[1]), dict(zip(sample.features, kept[0].tolist(), strict=True)))
 
 
 def fold_of(doc_id: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
-def _words(docs: DataFrame, ids: list[int]) -> list[set[str]]:
-    """The word sets of the documents with these ids, in the order of their ids."""
-    if not ids:
-        return []
-    picked = docs.sparkSession.createDataFrame([(x,) for x in ids], "doc_id long")
+def drawn(docs: DataFrame, picked: list[tuple[int, int]], max_words: int, least_z: float, least_share: float) -> Sample:
+    """The sample of the (doc_id, kind) in ``picked``, kind 1 for positives.
+
+    Features are counted on the executors; the driver gets the chosen ones and where they are.
+    """
+    spark = docs.sparkSession
+    kinds = spark.createDataFrame(picked, "doc_id long, kind int")
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([sorted(words_of(x)) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "words"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, words array<string>").toArrow()
-    return [set(x["words"]) for x in sorted(rows.to_pylist(), key=lambda x: x["doc_id"])]
-
-
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_positive: int = 2500, max_unlabelled: int = 5000) -> Linear:
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(features_of(x.as_py())) for x in batch.column(2)], pa.list_(pa.string()))], ["kind", "features"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(kinds), "doc_id").select("doc_id", "kind", "text").mapInArrow(run, "kind int, features array<string>")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
+    sizes = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    each = rows.select("row", "kind", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
+    pooled = (F.col("p") + F.col("u") + 1) / F.lit(float(n_p + n_u + 2))
+    z = F.abs(F.col("p") / F.lit(float(max(n_p, 1))) - F.col("u") / F.lit(float(max(n_u, 1)))) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / max(n_p, 1) + 1 / max(n_u, 1)))
+    chosen = counts.filter(F.col("p") >= max(3, round(least_share * n_p))).withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_words).collect()
+    features = [r["feature"] for r in chosen]
+    index = spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, i int")
+    found = each.join(F.broadcast(index), "feature").select("row", "kind", "i").toArrow().to_pandas()
+    out = []
+    for kind in (1, 0):
+        some = found[found["kind"] == kind]
+        out += [np.unique(some["row"].to_numpy(), return_inverse=True)[1], some["i"].to_numpy(np.int64)]
+    return Sample(features, n_p, n_u, *out)
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_positive: int = 2500, max_unlabelled: int = 5000, max_words: int = 2000, least_z: float = 4.5, least_share: float = 0.04) -> Linear:
     """Learn from the rows whose crc32(doc_id as text) mod ``folds`` is not ``held``."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = labels.filter(F.col("toxic").isin(0, 1) & (fold_of("doc_id", folds) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -145,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held)).distinct()
     positive = ids.join(known.filter("toxic = 1"), "doc_id", "left_semi").orderBy(*order).limit(max_positive).collect()
     unlabelled = ids.orderBy(*order).limit(max_unlabelled).collect()
-    return fit(_words(docs, [x[0] for x in positive]), _words(docs, [x[0] for x in unlabelled]), totals["toxic"] / totals["n"])
+    picked = [(x[0], 1) for x in positive] + [(x[0], 0) for x in unlabelled]
+    return fit(drawn(docs, picked, max_words, least_z, least_share), totals["toxic"] / totals["n"])
 
 
 def scored(docs: DataFrame, model: Linear) -> DataFrame:
