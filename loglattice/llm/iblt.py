@@ -139,14 +139,17 @@ def _buckets(docs: DataFrame) -> tuple[Column, list[tuple[int, int]]]:
     count = 4 * shuffle_partitions(docs.sparkSession)
     probabilities = [i / count for i in range(1, count)]
     bounds = sorted(set(docs.approxQuantile("doc_id", probabilities, 1 / (4 * count)))) if count > 1 else []
-    limits = F.array(*[F.lit(int(x)) for x in bounds]) if bounds else F.array().cast("array<long>")
-    # Position among the bounds by halving: the number of bounds at or below the id
-    place: Column = F.lit(0)
-    step = 1 << max(len(bounds).bit_length() - 1, 0)
-    while step and bounds:
+    if not bounds:
+        return F.lit(0), bounds
+    limits, count = F.lit([int(x) for x in bounds]).cast("array<long>"), len(bounds)
+
+    def further(place: Column, step: Column) -> Column:
         here = place + step
-        place = F.when((here <= len(bounds)) & (F.element_at(limits, F.least(here, F.lit(len(bounds)))) <= F.col("doc_id")), here).otherwise(place)
-        step >>= 1
+        return F.when((here <= count) & (F.element_at(limits, F.least(here, F.lit(count))) <= F.col("doc_id")), here).otherwise(place)
+
+    # By halving: the number of bounds at or below the id
+    steps = F.lit([1 << i for i in reversed(range(count.bit_length()))]).cast("array<int>")
+    place = F.aggregate(steps, F.lit(0), further)
     return F.coalesce(place, F.lit(0)), bounds
 
 
