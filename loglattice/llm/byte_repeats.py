@@ -19,16 +19,16 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Plan, covered, marked_texts
+from .repeats import Plan, covered, marked_texts, marks_of
 
 LENGTH, GRAM = 200, 32
 
 
-def _kept(text: str | None, marks: list | None) -> tuple[int, int, int, bytes]:
+def _kept(text: str | None, marks: tuple) -> tuple[int, int, int, bytes]:
     raw = (text or "").encode()
-    starts, ends = covered(len(raw), marks)
+    starts, ends = covered(len(raw), *marks)
     kept, at = [], 0
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+    for a, b in zip(starts, ends, strict=True):
         kept.append(raw[at:a])
         at = b
     kept.append(raw[at:])
@@ -42,8 +42,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dig
 
     def run(batches):
         for batch in batches:
-            rows = [_kept(t.as_py(), m.as_py()) for t, m in zip(batch.column(1), batch.column(2), strict=True)]
+            rows = [_kept(t.as_py(), m) for t, m in zip(batch.column(1), marks_of(batch.column(2)), strict=True)]
             kept = pa.array([hashlib.sha256(x[3]).hexdigest() for x in rows], pa.string()) if digest else pa.array([x[3] for x in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([x[i] for x in rows], pa.int64()) for i in range(3)), kept], ["doc_id", "n_bytes", "n_removed", "n_spans", last])
 
-    return marked_texts(docs, Plan("bytes", length, gram, shard=4 << 20)).mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+    return marked_texts(docs, Plan("bytes", length, gram, shard=1 << 20)).mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {kind}")

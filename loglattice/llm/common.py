@@ -39,12 +39,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back; cuts lineage."""
+    """Write ``df`` as a table in the shared folder and read it back; cuts lineage.
+
+    The shuffle files of the write go when it has ended: nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

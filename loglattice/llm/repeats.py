@@ -29,14 +29,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .suffixes import deep_nodes
 
 BASE = 0x9E3779B97F4A7C15
@@ -53,7 +53,7 @@ class Plan:
     length: int
     gram: int
     shard: int
-    heavy: int = 20_000
+    heavy: int = 6_000
 
     @property
     def left(self) -> int:
@@ -96,7 +96,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a text, runs between ASCII white space, and their hashes, kept up to ``keep`` of them."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 200_000):
         self.keep, self.known = keep, {}
 
     def split(self, text: str | None) -> list[bytes]:
@@ -343,14 +343,20 @@ def _window_rows(plan: Plan) -> Callable:
 
 
 def repeated_spans(texts: DataFrame, plan: Plan) -> DataFrame:
-    """k, s, e: stretches of units of the text with key k that repeating windows cover; ``texts`` has k, text."""
+    """k, s, e: stretches of units of the text with key k that repeating windows cover; ``texts`` has k, text.
+
+    Each step is a table of its own, deleted after its last use, so that the disk holds
+    the shuffle of one step at a time.
+    """
     found = written(texts.select("k", "text").mapInArrow(_anchor_rows(plan), ANCHORS), "anchors")
     often = written(found.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("unlike")), "anchor-counts")
     places = written(found.join(often, "a"), "places")
+    discard(found, often)
     unlike = places.filter("unlike")
     contexts = written(unlike.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "p")).alias("at")), "context-counts")
     alike = unlike.join(contexts.filter("n > 1").select("a", "c"), ["a", "c"]).select("k", "p").union(places.filter("not unlike").select("k", "p"))
-    spanned = alike.select("k", F.greatest(F.col("p") - plan.left, F.lit(0)).alias("s"), (F.col("p") + plan.length).alias("e"))
+    out = [written(alike.select("k", F.greatest(F.col("p") - plan.left, F.lit(0)).alias("s"), (F.col("p") + plan.length).alias("e")), "alike")]
+    discard(places)
     many = written(contexts.groupBy("a").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > plan.heavy).select("a"), "heavy-anchors")
     wanted = contexts.select(F.col("at.k").alias("k"), F.struct(F.col("at.p").alias("p"), F.col("a").alias("a"), (F.col("n") > 1).alias("several")).alias("x"))
 
@@ -358,33 +364,46 @@ def repeated_spans(texts: DataFrame, plan: Plan) -> DataFrame:
         asked = rows.groupBy("k").agg(F.collect_list("x").alias("wanted"))
         return texts.select("k", "text").join(asked, "k").select("k", "text", "wanted").mapInArrow(_context_rows(plan), CONTEXTS)
 
-    light, extra = wanted, None
+    light = wanted
     if many.limit(1).count():
         light = wanted.join(many, F.col("x.a") == many["a"], "left_anti")
         windows = written(bodies(wanted.join(many, F.col("x.a") == many["a"], "left_semi")).mapInArrow(_window_rows(plan), "a long, h long, k long, s int, several boolean"), "windows")
         twice = windows.groupBy("a", "h").agg(F.min(F.struct("k", "s")).alias("lo"), F.max(F.struct("k", "s")).alias("hi"), F.max("several").alias("several"))
         twice = written(twice.filter("several or lo <> hi").select("a", "h"), "window-counts")
-        extra = windows.join(twice, ["a", "h"]).select("k", "s", (F.col("s") + plan.length).alias("e"))
-    solved = bodies(light).repartition("a").sortWithinPartitions("a").mapInArrow(_shards(plan), "k long, s int, e int")
-    out = spanned.union(solved)
-    return out if extra is None else out.union(extra)
+        out.append(written(windows.join(twice, ["a", "h"]).select("k", "s", (F.col("s") + plan.length).alias("e")), "window-spans"))
+        discard(windows, twice)
+    out.append(written(bodies(light).repartition("a").sortWithinPartitions("a").mapInArrow(_shards(plan), "k long, s int, e int"), "solved"))
+    discard(contexts, many)
+    return reduce(DataFrame.union, out)
 
 
-def covered(n: int, marks: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal covered stretches of a text of ``n`` units."""
-    if not marks:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    s = np.array([x["s"] for x in marks], np.int64)
-    e = np.minimum(np.array([x["e"] for x in marks], np.int64), n)
-    order = np.argsort(s, kind="stable")
-    s, e = s[order], np.maximum.accumulate(e[order])
-    new = np.concatenate(([True], s[1:] > e[:-1]))
-    first = np.flatnonzero(new)
-    return s[first], e[np.append(first[1:], len(s)) - 1]
+def covered(n: int, s: np.ndarray, e: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal covered stretches of a text of ``n`` units, from spans in any order."""
+    if not len(s):
+        return [], []
+    order = np.argsort(s)
+    s, e = s[order], np.maximum.accumulate(np.minimum(e[order], n))
+    first = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
+    return s[first].tolist(), e[np.append(first[1:], len(s)) - 1].tolist()
+
+
+def marks_of(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of the spans of each row; none where the list is null."""
+    at = column.offsets.to_numpy()
+    s, e = (column.values.field(i).to_numpy() for i in (0, 1))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield s[a:b], e[a:b]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, k: the key is doc_id where it is unique and never null, else a hash of the row."""
+    ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    unique = ids["n"] == ids["known"] and not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return docs.select("doc_id", "text", (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if unique else F.xxhash64("doc_id", "text")).alias("k"))
 
 
 def marked_texts(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, text, marks (array of s, e, or null) of every document."""
-    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
+    texts = keyed(docs)
     marks = repeated_spans(texts, plan).groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
     return texts.join(marks, "k", "left").select("doc_id", "text", "marks")

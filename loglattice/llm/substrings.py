@@ -19,16 +19,16 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Plan, covered, marked_texts
+from .repeats import Plan, covered, marked_texts, marks_of
 
 WINDOW, GRAM = 35, 8
 
 
-def _kept(text: str | None, marks: list | None) -> tuple[int, int, list[bytes]]:
+def _kept(text: str | None, marks: tuple) -> tuple[int, int, list[bytes]]:
     words = (text or "").encode().split()
-    starts, ends = covered(len(words), marks)
+    starts, ends = covered(len(words), *marks)
     kept, at = [], 0
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+    for a, b in zip(starts, ends, strict=True):
         kept += words[at:a]
         at = b
     kept += words[at:]
@@ -40,10 +40,10 @@ def without_repeats(docs: DataFrame, length: int = WINDOW, gram: int = GRAM) ->
 
     def run(batches):
         for batch in batches:
-            rows = [_kept(t.as_py(), m.as_py()) for t, m in zip(batch.column(1), batch.column(2), strict=True)]
+            rows = [_kept(t.as_py(), m) for t, m in zip(batch.column(1), marks_of(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([b" ".join(x[2]).decode() for x in rows], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return marked_texts(docs, Plan("words", length, gram, shard=4 << 20)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return marked_texts(docs, Plan("words", length, gram, shard=1 << 20)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
@@ -51,10 +51,10 @@ def substring_digests(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [_kept(t.as_py(), m.as_py()) for t, m in zip(batch.column(1), batch.column(2), strict=True)]
+            rows = [_kept(t.as_py(), m) for t, m in zip(batch.column(1), marks_of(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([hashlib.sha256(b" ".join(x[2])).hexdigest() for x in rows], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return marked_texts(docs, Plan("words", WINDOW, GRAM, shard=4 << 20)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return marked_texts(docs, Plan("words", WINDOW, GRAM, shard=1 << 20)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE_SQL = r"""

@@ -15,31 +15,29 @@ from dataclasses import dataclass
 import numpy as np
 
 
-def _groups(keys: np.ndarray) -> np.ndarray:
-    """For each entry of sorted keys, the index of the first entry of its group."""
-    new = np.concatenate(([True], keys[1:] != keys[:-1]))
-    return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of sorted keys, the index of the first entry of its group, and the entries that are not alone in theirs."""
+    new = np.concatenate(([True], keys[1:] != keys[:-1], [True]))
+    first = np.maximum.accumulate(np.where(new[:-1], np.arange(len(keys), dtype=np.int32), np.int32(0)))
+    return first, np.flatnonzero(~(new[:-1] & new[1:])).astype(np.int32)
 
 
 def suffix_array(keys: np.ndarray, h: int) -> np.ndarray:
-    """Positions in the order of their suffixes; ``keys`` orders the first ``h`` units of each."""
+    """Positions in the order of their suffixes; ``keys`` orders the first ``h`` units of each. Up to 2**31 units."""
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
-    first = _groups(keys[order])
-    rank = np.zeros(n + 1, np.int64)  # the last entry, 0, is the empty suffix
+    order = np.argsort(keys).astype(np.int32)
+    first, active = _groups(keys[order])
+    rank = np.zeros(n + 1, np.int32)  # the last entry, 0, is the empty suffix
     rank[order] = first + 1
-    size = np.bincount(first, minlength=n)
-    active = np.flatnonzero(size[first] > 1)
     while len(active) and h < 2 * n:
         at = order[active]
-        key = rank[at] << 32 | rank[np.minimum(at + h, n)]
-        turn = np.argsort(key, kind="stable")
+        key = rank[at].astype(np.int64) << 32 | rank[np.minimum(at.astype(np.int64) + h, n)]
+        turn = np.argsort(key)
         at, key = at[turn], key[turn]
         order[active] = at
-        first = _groups(key)
+        first, shared = _groups(key)
         rank[at] = active[first] + 1
-        size = np.bincount(first, minlength=len(at))
-        active = active[size[first] > 1]
+        active = active[shared]
         h *= 2
     return order
 
@@ -47,23 +45,26 @@ def suffix_array(keys: np.ndarray, h: int) -> np.ndarray:
 def common_prefixes(units: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each entry of ``order``, the length of the common prefix with the entry before (0 for the first)."""
     n = len(units)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    here = np.arange(n)
-    known = (before > 0) & (here > 0)
-    known[known] = units[here[known] - 1] == units[before[known] - 1]
-    open_ = np.flatnonzero(~known & (before >= 0))
-    lengths = np.zeros(n, np.int64)
-    length, a, b = 0, open_, before[open_]
+    known = before > 0
+    known[0] = False
+    known[1:] &= units[:-1] == units[before[1:] - 1]
+    a = np.flatnonzero(~known & (before >= 0)).astype(np.int32)
+    b = before[a]
+    start = np.full(n, -n, np.int32)  # its place plus its length; where known, from the left
+    start[~known] = np.flatnonzero(~known)
+    length = 0
     while len(a):
-        inside = (a + length < n) & (b + length < n)
+        inside = (a < n - length) & (b < n - length)
         same = np.zeros(len(a), bool)
         same[inside] = units[a[inside] + length] == units[b[inside] + length]
-        lengths[a[~same]] = length
+        start[a[~same]] = a[~same] + length
         a, b = a[same], b[same]
         length += 1
-    start = np.where(known, -n, lengths + here)
-    plcp = np.maximum(np.maximum.accumulate(start) - here, 0)
+    plcp = np.maximum.accumulate(start)
+    plcp -= np.arange(n, dtype=np.int32)
+    np.maximum(plcp, 0, out=plcp)
     plcp[before < 0] = 0
     return plcp[order]
 
