@@ -33,6 +33,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,44 +278,44 @@ def spans(keys: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
     keys, at = keys[order], at[order]
     new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (at[1:] > at[:-1] + 1))) if len(keys) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(keys)) - 1
+    last = np.append(first[1:], len(keys))[: len(first)] - 1
     return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(at[first].astype(np.int32)), pa.array((at[last] + length).astype(np.int32))], ["k", "s", "e"])
 
 
 def _shards(plan: Plan) -> Callable:
+    """Solves contexts, sorted by anchor, in shards of whole anchors and about ``plan.shard`` bytes."""
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        key, at = solve(table.column("k").to_numpy(), table.column("first").to_numpy().astype(np.int64), table.column("several").to_numpy(), table.column("body").to_pylist(), plan)
+        return spans(key, at, plan.length)
+
+    def cut(table: pa.Table, ended: bool) -> Iterator[pa.Table]:
+        """Shards of the table, and last what is left of it: the last anchor's contexts, unless ``ended``."""
+        group = table.column("a").to_numpy()
+        whole = len(group) if ended else int(np.searchsorted(group, group[-1]))
+        sizes = np.cumsum(pc.binary_length(table.column("body")).to_numpy())
+        at = 0
+        while at < whole:
+            to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + plan.shard)) + 1
+            to = int(np.searchsorted(group, group[min(to, whole) - 1], side="right"))
+            yield table.slice(at, to - at)
+            at = to
+        yield table.slice(whole)
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def out(table: pa.Table) -> pa.RecordBatch:
-            key, at = solve(table.column("k").to_numpy(), table.column("first").to_numpy().astype(np.int64), table.column("several").to_numpy(zero_copy_only=False), table.column("body").to_pylist(), plan)
-            return spans(key, at, plan.length)
-
         for batch in batches:
-            held.append(batch)
-            size += batch.column(4).nbytes
-            if size < plan.shard:
-                continue
-            table = pa.Table.from_batches(held)
-            group = table.column("a").to_numpy()
-            cut = int(np.searchsorted(group, group[-1]))  # rows are sorted by a; the last group may go on
-            if not cut:
+            if not batch.num_rows:
                 continue
-            while cut:
-                sizes = np.cumsum([len(x) for x in table.column("body").to_pylist()[:cut]])
-                to = int(np.searchsorted(sizes, plan.shard)) + 1
-                to = cut if to >= cut else int(np.searchsorted(group[:cut], group[to - 1], side="right"))
-                yield out(table.slice(0, to))
-                table, group, cut = table.slice(to), group[to:], cut - to
-            held, size = table.to_batches(), table.nbytes
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column(4))).as_py()
+            if size >= plan.shard:
+                *shards, rest = cut(pa.Table.from_batches(held), False)
+                yield from map(solved, shards)
+                held = rest.to_batches()
+                size = pc.sum(pc.binary_length(rest.column("body"))).as_py() or 0
         if held:
-            table = pa.Table.from_batches(held)
-            while table.num_rows:
-                group = table.column("a").to_numpy()
-                sizes = np.cumsum([len(x) for x in table.column("body").to_pylist()])
-                to = min(int(np.searchsorted(sizes, plan.shard)) + 1, len(group))
-                to = int(np.searchsorted(group, group[to - 1], side="right"))
-                yield out(table.slice(0, to))
-                table = table.slice(to)
+            yield from map(solved, [x for x in cut(pa.Table.from_batches(held), True) if x.num_rows])
 
     return run
 
