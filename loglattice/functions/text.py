@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Everything that ends a line for Python's splitlines(), CR LF as one.
-LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 SGR = "\u001b\\[[0-9;]*m"
 STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+Z ?"
 ESCAPE = "\u001b(?:[@-Z\\\\-_]|\\[[0-?]*[ -/]*[@-~])"
