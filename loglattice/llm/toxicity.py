@@ -8,7 +8,8 @@ trained on the class-prior-corrected risk
 
 whose second term, the risk on negatives, cannot fall below zero: where a step finds
 it negative, that step climbs it instead. The prior is the toxic share of the
-labelled training rows. The loss is logistic, so the score is a probability.
+labelled training rows. The loss is logistic, so the score is a probability; its mean
+over the unlabelled sample is brought to the prior times ``slack``.
 
 Fitted on bounded samples (``max_positive`` and ``max_unlabelled`` documents,
 smallest hash of doc_id first; ``max_words`` features that differ by ``least_z`` deviations); scoring covers every whole text.
@@ -90,7 +91,7 @@ class Sample:
     u_features: np.ndarray
 
 
-def fit(sample: Sample, prior: float, steps: int = 250, rate: float = 0.1, penalty: float = 2e-4) -> Linear:
+def fit(sample: Sample, prior: float, slack: float = 1.1, steps: int = 250, rate: float = 0.1, penalty: float = 2e-4) -> Linear:
     """Minimise the corrected risk by Adam; the best weights met are kept."""
     prior = min(max(prior, 1e-4), 0.9)
     start = float(np.log(prior / (1 - prior)))
@@ -115,7 +116,14 @@ def fit(sample: Sample, prior: float, steps: int = 250, rate: float = 0.1, penal
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Linear(float(kept[1]), dict(zip(sample.features, kept[0].tolist(), strict=True)))
+    # The mean score of unlabelled text is the prior, and a little for doubtful cases; small samples alone would not give that.
+    w, b = kept
+    z = np.bincount(sample.u_rows, w[sample.u_features], nu)
+    low, high = b - 20.0, b + 20.0
+    for _ in range(60):
+        b = (low + high) / 2
+        low, high = (low, b) if (1 / (1 + np.exp(-np.clip(z + b, -40, 40)))).mean() > min(slack * prior, 0.95) else (b, high)
+    return Linear(float(b), dict(zip(sample.features, w.tolist(), strict=True)))
 
 
 def fold_of(doc_id: str, folds: int) -> Column:
