@@ -42,8 +42,9 @@ def _last(flag: Column, key: str) -> Column:
 
 
 def _next(flag: Column, key: str) -> Column:
-    after = Window.partitionBy(key).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    return F.first(F.when(flag, F.col("line_no")), True).over(after)
+    """The first line strictly after with the flag; null if none. Read backwards, since a frame to the end is read anew for each row."""
+    after = Window.partitionBy(key).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(flag, F.col("line_no")), True).over(after)
 
 
 def hard_protected(lines: DataFrame, settings: Settings = Settings(), key: str = FILE) -> DataFrame:

@@ -20,11 +20,10 @@ def error_starts(lines: DataFrame, key: str = FILE) -> DataFrame:
 
 def error_ends(lines: DataFrame, key: str = FILE) -> DataFrame:
     """Error markers with end: itself if it tells the exit code, else the line before the next group or cleanup marker, else the last line."""
-    order = Window.partitionBy(key).orderBy("line_no")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)  # a frame to the end would be read anew for each row
     mark = F.when(is_group_mark(F.col("text")) | is_cleanup_mark(F.col("text")), F.col("line_no"))
     total = F.max("line_no").over(Window.partitionBy(key))
-    end = F.when(F.col("text").startswith(EXIT_MARK), F.col("line_no")).otherwise(F.coalesce(F.first(mark, True).over(after) - 1, total))
+    end = F.when(F.col("text").startswith(EXIT_MARK), F.col("line_no")).otherwise(F.coalesce(F.last(mark, True).over(after) - 1, total))
     return lines.withColumn("end", end).filter(is_error_mark(F.col("text"))).select(key, F.col("line_no").alias("error_line"), "end")
 
 
@@ -62,6 +61,6 @@ def log_ranges(lines: DataFrame, steps: DataFrame | None = None, key: str = FILE
         clean = lines.filter(is_cleanup_mark(F.col("text"))).join(named, key).filter("line_no >= at").groupBy(key).agg(F.min("line_no").cast("long").alias("clean"))
         whole = rest.join(named, key, "left").join(clean, key, "left").select(key, F.coalesce("at", F.lit(1)).cast("long").alias("start"), F.coalesce("clean", "n").alias("end"))
     out = found.union(whole)
-    ends = lines.filter(is_end_mark(F.col("text"))).select(key, F.col("line_no").alias("mark"))
-    inside = out.join(ends, key).filter("mark between start and end").groupBy(key, "start", "end").agg(F.min("mark").cast("long").alias("workflow_end"))
-    return out.join(inside, [key, "start", "end"], "left")
+    onward = Window.partitionBy(key).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)
+    nearest = lines.select(key, F.col("line_no").alias("start"), F.last(F.when(is_end_mark(F.col("text")), F.col("line_no")), True).over(onward).alias("mark"))
+    return out.join(nearest, [key, "start"], "left").select(key, "start", "end", F.when(F.col("mark") <= F.col("end"), F.col("mark")).cast("long").alias("workflow_end"))
