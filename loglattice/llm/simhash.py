@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 PIVOTS = 16
 MASK = (1 << 64) - 1
@@ -206,97 +206,162 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-BITS, TABLES, SAMPLED = 256, 64, 22
+PARTS, COMMON, ROUNDS = 64, 200_000, ((1, 1), (2, 8), (9, None))
 
 
-def wide(text: str | None, words: int) -> tuple[bytes, np.ndarray]:
-    """A fingerprint of ``BITS`` bits over the distinct word shingles of a text, and their hashes."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the distinct word shingles of a text, in order."""
     import xxhash
 
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, words)), np.uint64))
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 1 << 13):
-        some = hashes[i : i + (1 << 13)]
-        with np.errstate(over="ignore"):
-            lanes = np.column_stack([(some ^ some >> np.uint64(31 + j)) * np.uint64(_mixed(99 + j) | 1) for j in range(BITS // 64)])
-            lanes ^= lanes >> np.uint64(32)
-        ones += np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), hashes
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, words)), np.uint64))
 
 
-def wide_references() -> np.ndarray:
-    return np.array([[_mixed(1000 + 8 * i + j) for j in range(BITS // 64)] for i in range(PIVOTS)], np.uint64)
+def digest(own: np.ndarray) -> int:
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh3_64_digest(own.astype("<u8").tobytes()), "little", signed=True)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones before ``common`` ones; two sets of at least ``similarity`` share one of theirs.
+
+    They have ``similarity`` of the larger set in common, so all but the last of these
+    fit into what a set may have alone. This holds for any order that all sets follow.
+    """
+    size = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+        own = np.concatenate((own[~often], own[often]))
+    return own[:size]
 
 
-def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: int = 7) -> DataFrame:
+def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, table: np.ndarray, similarity: float, first: int, last: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows ``first`` to ``last`` places apart, of one key and two roots, that the pivot table does not discard.
+
+    The table holds how many shingles of a set are in each of ``PARTS`` parts of the hash
+    range. Two sets differ in at least as many shingles as these counts do, and sets of
+    at least ``similarity`` differ in (1 - s) / (1 + s) of their sizes' sum at most.
+    """
+    share, n = (1 - similarity) / (1 + similarity), len(key)
+    a, b, at, step = [], [], np.arange(n), first
+    while len(at) and (last is None or step <= last):
+        at = at[: np.searchsorted(at, n - step)]
+        at = at[key[at] == key[at + step]]
+        x = at[root[at] != root[at + step]]
+        for lo in range(0, len(x), 1 << 16):
+            i = x[lo : lo + (1 << 16)]
+            j = i + step
+            i, j = (v[np.abs(size[i] - size[j]) <= share * (size[i] + size[j]) + 1e-6] for v in (i, j))
+            apart = np.abs(table[i].astype(np.int16) - table[j]).sum(1, dtype=np.int64)
+            near = apart <= share * (size[i] + size[j]) + 1e-6
+            a.append(i[near])
+            b.append(j[near])
+        step += 1
+    return (np.concatenate(a), np.concatenate(b)) if a else (at[:0], at[:0])
+
+
+def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of every document with an id: groups of copies by links of at least ``similarity``.
 
-    Similarity is the Jaccard index of the sets of word shingles. At 0.8 some 38 of 256 bits
-    differ, too many for blocks, so candidates meet where ``SAMPLED`` bits, at fixed places
-    for each of ``TABLES`` tables, are equal; the pivot table discards and the fingerprints
-    verify at the angle of ``similarity`` and ``slack`` bits more; links found so are
-    verified by the exact index. The sampling finds a pair at 0.9 in over 99 of 100 cases
-    and one at 0.8 in about 9 of 10; equal texts are found always.
+    Similarity is the Jaccard index of the sets of word shingles, and no pair is lost.
+    Documents of one set are one node. Nodes meet in the buckets of their ``prefix``; the
+    order that puts common shingles last comes from a sample and bears on speed alone.
+    In a bucket the pivot table discards, and the exact index of two sets
+    makes a link. Pairs go by their distance in the order of a bucket, in ``ROUNDS``; a pair
+    is left out only if links of earlier rounds connect it, so that groups of many copies
+    do not take all their pairs.
     """
-    radius = int(BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
-    places = np.random.default_rng(4).permuted(np.tile(np.arange(BITS), (TABLES, 1)), axis=1)[:, :SAMPLED]
-    powers = 1 << np.arange(SAMPLED, dtype=np.int64)
-    known = docs.filter("doc_id is not null")
+    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    common = np.zeros(0, np.uint64)
 
-    def sketch(batches):
+    def listed(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([wide(x.as_py(), words)[0] for x in batch.column(1)], pa.binary())], ["doc_id", "fp"])
+            for lo in range(0, batch.num_rows, 1024):
+                found = [shingle_hashes(x.as_py(), words) for x in batch.column(1).slice(lo, 1024)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
-    def keys(batches):
+    def sketch(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 some = batch.slice(lo, 1024)
-                bits = np.unpackbits(np.frombuffer(b"".join(some.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
-                found = (bits[:, places].astype(np.int64) @ powers) << 6 | np.arange(TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(some.column(1).to_numpy(), TABLES))], ["key", "rep"])
+                sets = [shingle_hashes(x.as_py(), words) for x in some.column(1)]
+                table = [np.minimum(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for x in sets]
+                first = [prefix(x, common, similarity).view(np.int64) for x in sets]
+                columns = [pa.array([digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(table, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], ["doc_id", "node", "size", "pivots", "keys"])
 
     def hashes(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([wide(x.as_py(), words)[1].view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], ["v", "shingles"])
-
-    def solve(rows: pa.Table):
-        key, rep = rows.column("key").to_numpy(), rows.column("rep").to_numpy()
-        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        table = np.bitwise_count(fps[:, None, :] ^ wide_references()).sum(2, dtype=np.int64)
-        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        found = [rep[lo + x] for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for x in connected(fps[lo:hi], table[lo:hi], radius)]
-        if found:
-            pairs = np.sort(np.concatenate(found), axis=1)
+            for lo in range(0, batch.num_rows, 256):
+                sets = [shingle_hashes(x.as_py(), words) for x in batch.column(0).slice(lo, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["v", "shingles"])
+
+    def solve(rows: pa.Table, first: int, last: int | None):
+        key, node, root, size = (rows.column(x).to_numpy() for x in ("key", "node", "root", "size"))
+        table = np.frombuffer(b"".join(rows.column("pivots").to_pylist()), np.uint8).reshape(-1, PARTS)
+        i, j = near_in_buckets(key, root, size, table, similarity, first, last)
+        if len(i):
+            pairs = np.unique(np.column_stack((node[i], node[j])), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    def buckets(batches):
-        rest = None
+    def buckets(batches, first: int, last: int | None):
+        waiting = []
         for batch in batches:
-            rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
-            key = rest.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if cut:
-                yield from solve(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from solve(rest)
-
-    fps = written(known.select("doc_id", "text").mapInArrow(sketch, "doc_id long, fp binary"), "wide-fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-nodes")
-    keyed = written(nodes.mapInArrow(keys, "key long, rep long"), "wide-keys")
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "wide-buckets")
-    met = keyed.join(shared, "key").join(nodes, "rep").select("key", "rep", "fp")
-    pairs = written(met.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(buckets, "a long, b long").distinct(), "wide-pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(known.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(hashes, "v long, shingles array<long>"), "shingles")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.filter(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
-    classes = nodes.join(components(links), F.col("rep") == F.col("v"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(written(classes, "classes"), "fp").select("doc_id", "component_id")
+            if batch.num_rows:
+                key = batch.column(0).to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if waiting and (cut or key[-1] != waiting[-1].column(0)[-1].as_py()):
+                    yield from solve(pa.Table.from_batches([*waiting, batch.slice(0, cut)]), first, last)
+                    waiting, batch = [], batch.slice(cut)
+                waiting.append(batch)
+        if waiting:
+            yield from solve(pa.Table.from_batches(waiting), first, last)
+
+    sampled = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(listed, "key long")
+    often = sampled.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "key").limit(COMMON).select("key")
+    common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
+    sketches = written(known.mapInArrow(sketch, "doc_id long, node long, size long, pivots binary, keys array<long>"), "copies-sketches")
+    nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "pivots", "keys")]), "copies-nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = written(keyed.join(shared, "key").select("key", "node", "n"), "copies-buckets")
+    used, links, roots = [sketches, nodes, met], None, None
+    for first, last in ROUNDS:
+        live = met.withColumn("root", F.col("node"))
+        if roots is not None:
+            live = met.filter(F.col("n") > first).join(roots, F.col("node") == F.col("v"), "left").withColumn("root", F.coalesce("root", "node"))
+            mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+            live = live.join(mixed, "key", "left_semi")
+        rows = live.select("key", "node", "root").join(nodes.select("node", "size", "pivots"), "node").select("key", "node", "root", "size", "pivots")
+        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(buckets, first=first, last=last), "a long, b long")
+        pairs = written(found.distinct(), "copies-pairs")
+        used.append(pairs)
+        if not pairs.limit(1).count():
+            continue
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = known.join(nodes.join(ends, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        # An id of several texts brings sets that no pair asks for; equal sets come once.
+        sets = written(texts.select("text").mapInArrow(hashes, "v long, shingles array<long>").dropDuplicates(["v"]), "copies-shingles")
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        alike = F.size(F.array_intersect("x", "y"))
+        exact = written(both.filter(alike >= similarity * (F.size("x") + F.size("y") - alike) - 1e-9).select("a", "b"), "copies-links")
+        discard(sets)
+        used.append(exact)
+        links = exact if links is None else links.union(exact)
+        roots = components(links)
+    if roots is None:
+        classes = nodes.select("node", F.col("rep").alias("component_id"))
+    else:
+        rooted = nodes.join(roots, F.col("node") == F.col("v"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+        classes = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
+    out = written(sketches.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id"), "classes")
+    discard(*used)
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with the document of smallest id of each group of copies; rows without an id stay."""
-    gone = written(copies(docs, words, similarity).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    groups = copies(docs, words, similarity)
+    gone = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    discard(groups)
     return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -182,6 +182,25 @@ def test_copies(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*range(0, 120, 10), 990, None], key=str)
 
 
+def brute_copies(rows, words=5, similarity=0.8):
+    sets = {i: set(simhash.shingles(t, words)) for i, t in rows}
+    return brute_components(sets, lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9)
+
+
+def test_copies_at_the_threshold(spark):
+    """Lone pairs of a Jaccard index of 0.8 to 0.9, and some below: a text and itself with words put at its end."""
+    rng = random.Random(6)
+    say = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    rows, line = [], say(30)
+    for i in range(120):
+        share = rng.choice([0.76, 0.79, 0.8, 0.8, 0.8, 0.82, 0.85, 0.9])
+        text = say(rng.choice([54, 174, 294, 444])) + line
+        n = len(text) - 4
+        rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join(text + say(int(n / share + 1e-6) - n)))]
+    found = simhash.copies(table(spark, rows + [(None, rows[0][1])])).collect()
+    assert dict(map(tuple, found)) == brute_copies(rows) and len(found) == len(rows)
+
+
 def test_iblt(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, ""), (4, None), (5, "\n".join(map(str, range(900)))), (7, "\n".join(map(str, range(40, 950)))), (9, "é\n" * 40)]
     found = {r.doc_id: r for r in iblt.fingerprints(table(spark, rows)).collect()}
