@@ -52,7 +52,7 @@ def votes(members: DataFrame, deletions: DataFrame, failed: DataFrame | None = N
     return marked.groupBy(key, "line_no").agg(F.min(gone).alias("gone")).filter("gone").select(key, "line_no")
 
 
-def file_windows(files: DataFrame, blocks: DataFrame | None = None, size: int = 300, step: int = 270, most: int = 100, key: str = FILE) -> DataFrame:
+def file_windows(files: DataFrame, blocks: DataFrame | None = None, size: int = 300, step: int = 270, most: int = 10_000, key: str = FILE) -> DataFrame:
     """w_start, w_end of windows over whole files (key, n_lines); a window that would touch a block is skipped, and the next one begins after that block.
 
     Blocks are those of one file, in an array; the fold over it is within a row.

@@ -104,6 +104,16 @@ def test_window_count(spark, length, n):
     assert got(windows.over_budget(block), "keep_whole") == [(n > 20,)]
 
 
+def test_file_windows_reach_the_end(spark):
+    files = spark.createDataFrame([(1, 27_031), (2, 100_000), (3, 5)], "file int, n_lines long")
+    made = got(windows.file_windows(files), "file", "w_start", "w_end")
+    for file, n in ((1, 27_031), (2, 100_000), (3, 5)):
+        own = sorted((a, b) for f, a, b in made if f == file)
+        assert own[0][0] == 1 and own[-1][1] == n and all(b[0] <= a[1] + 1 for a, b in zip(own, own[1:], strict=False))
+    longest = spark.createDataFrame([(1, 3_000_000)], "file int, n_lines long")
+    assert windows.file_windows(longest).count() == 10_000
+
+
 def test_vote_needs_all_windows(spark):
     rows = spark.range(1, 61).selectExpr("1 as file", "id as line_no", "1L as start", "60L as end")
     members = windows.memberships(rows, 40, 28)
