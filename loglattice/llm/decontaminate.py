@@ -3,7 +3,8 @@
 Finds short test items inside long documents: pairs whose document holds at least
 ``threshold`` of the item's distinct shingles of ``words`` words. Words are runs
 between ASCII white space after A-Z are lower-cased and ASCII punctuation is turned
-into spaces; a text of fewer words is one shingle.
+into spaces; an item of fewer words is one shingle and is looked up among the runs
+of as many words in a document.
 
 Items are partitioned by size, a partition for each power of two. In one whose items
 have up to m shingles the sketch of an item is its smallest shingle hashes, as many
@@ -43,10 +44,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(TABLE).split()
 
 
+def runs(found: list[bytes], words: int) -> set[bytes]:
+    return {b" ".join(found[i : i + words]) for i in range(len(found) - words + 1)}
+
+
 def shingles(found: list[bytes], words: int) -> set[bytes]:
     if len(found) <= words:
         return {b" ".join(found)} if found else set()
-    return {b" ".join(found[i : i + words]) for i in range(len(found) - words + 1)}
+    return runs(found, words)
 
 
 class Hasher:
@@ -84,6 +89,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]], words: int, threshold: float):
         self.words, self.threshold, self.items = words, threshold, []
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # items of fewer words, by their number
         of, found = Hasher(words), defaultdict(list)
         for item_id, text in items:
             listed = words_of(text)
@@ -93,6 +99,9 @@ class Index:
             hashes = np.unique(of(listed))
             largest = 1 << (len(texts) - 1).bit_length()  # of the partition
             self.items.append((item_id, texts))
+            if len(listed) < words:
+                self.short.setdefault(len(listed), {}).setdefault(*texts, []).append(len(self.items) - 1)
+                continue
             for h in hashes[: largest - math.ceil(threshold * largest - 1e-9) + 1].tolist():
                 found[h].append(len(self.items) - 1)
         self.hashes = np.array(sorted(found), np.uint64)
@@ -103,16 +112,19 @@ class Index:
     def matches(self, text: str | None) -> list[tuple[int | None, int, int]]:
         """(item id, shingles shared, shingles of the item) of the items that the text holds."""
         listed = words_of(text)
-        if not listed or not len(self.hashes):
+        if not listed:
             return []
+        out = [(self.items[i][0], 1, 1) for n, held in self.short.items() for x in held.keys() & runs(listed, n) for i in held[x]]
+        if not len(self.hashes):
+            return out
         hashes = hasher(self.words)(listed)
         hashes = hashes[self.seen[(hashes >> np.uint64(44)).astype(np.int64)]]
         at = np.searchsorted(self.hashes, hashes)
         at[at == len(self.hashes)] = 0
         hits = np.unique(at[self.hashes[at] == hashes])
         if not len(hits):
-            return []
-        texts, out = shingles(listed, self.words), []
+            return out
+        texts = shingles(listed, self.words)
         for i in sorted({i for h in hits.tolist() for i in self.holders[h]}):
             item_id, own = self.items[i]
             shared = len(own & texts)

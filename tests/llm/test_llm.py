@@ -269,6 +269,17 @@ def test_decontamination(spark):
     assert decontaminate.leaks(table(spark, docs), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(1, "Red fox."), (2, "one"), (3, "four words are here"), (4, "Red fox."), (5, "a b c d e")]
+    docs = [(1, "the quick RED, fox ran over the hill"), (2, "redfox and red the fox"), (3, "one"), (4, "so four words are here too, and one"), (5, "b c d e"), (None, "red fox")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = [(1, 1), (1, 4), (3, 2), (4, 2), (4, 3), (None, 1), (None, 4)]
+    for some in (benchmark, benchmark.filter("item_id < 5")):
+        found = decontaminate.leaks(table(spark, docs), some).collect()
+        assert sorted(((r.doc_id, r.item_id) for r in found), key=str) == sorted(expected, key=str)
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(table(spark, docs), benchmark).collect()) == [2, 5]
+
+
 def test_forward_backward():
     rng = np.random.default_rng(8)
     lines, moves = np.array([1, 4, 3]), rng.normal(size=(2, 2))
