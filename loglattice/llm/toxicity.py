@@ -9,7 +9,7 @@ trained on the class-prior-corrected risk
 whose second term, the risk on negatives, cannot fall below zero: where a step finds
 it negative, that step climbs it instead. The prior is the toxic share of the
 labelled training rows. The loss is logistic, so the score is a probability; its mean
-over the unlabelled sample is brought to the prior times ``slack``.
+over all training documents is brought to the prior times ``slack``.
 
 Fitted on bounded samples (``max_positive`` and ``max_unlabelled`` documents,
 smallest hash of doc_id first; ``max_words`` features that differ by ``least_z`` deviations); scoring covers every whole text.
@@ -62,7 +62,7 @@ class Linear:
     def __post_init__(self) -> None:
         self.stems = {f.rpartition("*")[0] for f in self.weights if "*" in f}
 
-    def score(self, text: str | None) -> float:
+    def logit(self, text: str | None) -> float:
         known, found = self.known, set()
         if len(known) > 400_000:
             known.clear()
@@ -74,8 +74,10 @@ class Linear:
             found.update(hits)
         stems = Counter(stem for word in found for stem in stems_of(word))
         features = found | {f"{stem}*{i}" for stem, n in stems.items() for i in range(1, min(n, LEVELS) + 1)}
-        z = self.bias + sum(self.weights[f] for f in sorted(features) if f in self.weights)
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return self.bias + sum(self.weights[f] for f in sorted(features) if f in self.weights)
+
+    def score(self, text: str | None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -40, 40))))
 
 
 @dataclass
@@ -91,7 +93,7 @@ class Sample:
     u_features: np.ndarray
 
 
-def fit(sample: Sample, prior: float, slack: float = 1.1, steps: int = 250, rate: float = 0.1, penalty: float = 2e-4) -> Linear:
+def fit(sample: Sample, prior: float, steps: int = 250, rate: float = 0.1, penalty: float = 2e-4) -> Linear:
     """Minimise the corrected risk by Adam; the best weights met are kept."""
     prior = min(max(prior, 1e-4), 0.9)
     start = float(np.log(prior / (1 - prior)))
@@ -116,14 +118,31 @@ def fit(sample: Sample, prior: float, slack: float = 1.1, steps: int = 250, rate
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    # The mean score of unlabelled text is the prior, and a little for doubtful cases; small samples alone would not give that.
     w, b = kept
-    z = np.bincount(sample.u_rows, w[sample.u_features], nu)
-    low, high = b - 20.0, b + 20.0
+    return Linear(float(b), dict(zip(sample.features, w.tolist(), strict=True)))
+
+
+def levelled(docs: DataFrame, model: Linear, prior: float, slack: float = 1.1) -> Linear:
+    """``model`` with the bias that makes the mean score of ``docs`` the prior, and a little for doubtful cases.
+
+    Logits are counted in steps of 1/64, so that the driver gets a bounded histogram.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            z = np.fromiter((shared.value.logit(x.as_py()) for x in batch.column(0)), float, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.rint(64 * np.clip(z - shared.value.bias, -40, 40)).astype(np.int64))], ["step"])
+
+    found = docs.select("text").mapInArrow(run, "step long").groupBy("step").agg(F.count("*").alias("n")).orderBy("step").collect()
+    if not found:
+        return model
+    z, n = np.array([r["step"] / 64 for r in found]), np.array([r["n"] for r in found], float)
+    low, high = model.bias - 60.0, model.bias + 60.0
     for _ in range(60):
         b = (low + high) / 2
-        low, high = (low, b) if (1 / (1 + np.exp(-np.clip(z + b, -40, 40)))).mean() > min(slack * prior, 0.95) else (b, high)
-    return Linear(float(b), dict(zip(sample.features, w.tolist(), strict=True)))
+        low, high = (low, b) if np.average(1 / (1 + np.exp(-np.clip(z + b, -40, 40))), weights=n) > min(slack * prior, 0.95) else (b, high)
+    return Linear(float(b), model.weights)
 
 
 def fold_of(doc_id: str, folds: int) -> Column:
@@ -168,11 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max
     totals = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     if not totals["toxic"]:
         return Linear(-4.0)
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held)).distinct()
+    training = docs.filter(F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held))
+    ids = training.select("doc_id").distinct()
     positive = ids.join(known.filter("toxic = 1"), "doc_id", "left_semi").orderBy(*order).limit(max_positive).collect()
     unlabelled = ids.orderBy(*order).limit(max_unlabelled).collect()
     picked = [(x[0], 1) for x in positive] + [(x[0], 0) for x in unlabelled]
-    return fit(drawn(docs, picked, max_words, least_z, least_share), totals["toxic"] / totals["n"])
+    prior = totals["toxic"] / totals["n"]
+    return levelled(training, fit(drawn(docs, picked, max_words, least_z, least_share), prior), prior)
 
 
 def scored(docs: DataFrame, model: Linear) -> DataFrame:
