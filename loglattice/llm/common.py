@@ -42,19 +42,26 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd", rows: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back; cuts lineage.
 
     The shuffle files of the write go when it has ended: nothing reads them again.
+    ``rows`` is the size of the batches that Python gets meanwhile, for rows of whole texts.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    meanwhile = {CLEANUP: "true"} | ({BATCH: str(rows)} if rows else {})
+    before = {key: spark.conf.get(key, "false" if key == CLEANUP else "10000") for key in meanwhile}
+    for key, value in meanwhile.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

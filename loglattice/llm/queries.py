@@ -17,7 +17,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.substring_digests(read_table(spark, sf_dir, "documents"))
+    return substrings.without_repeats(read_table(spark, sf_dir, "documents"), digest=True)
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

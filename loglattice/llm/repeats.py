@@ -4,32 +4,28 @@ A text is a sequence of units (words or bytes). A window is ``length`` consecuti
 units of one document; it repeats if its units also start anywhere else. Every unit
 that a repeating window covers is marked.
 
-1. Every window has an anchor, the k-gram of least hash in it (of equal ones each is
-   taken), so equal windows have an equal anchor at an equal place. Anchors are about
-   2 / (length - gram + 2) of the positions. Each goes out as a row with the hash of
-   its context, the units that windows around it can cover.
+1. Every window has one anchor, its first k-gram of least hash, so equal windows have an
+   equal anchor at an equal place. The windows of an anchor are consecutive; together
+   they cover its context. Each anchor goes out as a row with the hash of its context.
 2. Anchors are counted with map-side aggregation. One that occurs once cannot be in a
-   repeating window and goes no further; nothing else is decided by a count of
-   anchors. Where contexts are equal, all their windows repeat.
-3. What is left are anchors in unlike contexts, one occurrence for each context.
-   Their contexts meet by anchor, which is a prefix that suffixes share, in shards of
-   bounded size whose suffixes are sorted; runs of suffixes that share ``length`` units
-   are the repeats.
-4. An anchor with more than ``heavy`` unlike contexts is not brought together: its
-   prefix is made as long as a window, and those are counted with map-side aggregation
-   as in step 2.
-5. Marked spans return to their documents.
-
-Hashes are of 64 bits, always compared together with a second one or with the units
-themselves. Joins on anchors have plain shuffles on both sides, so adaptive execution
-can split an anchor that holds many rows.
+   repeating window and goes no further; nothing else is decided by a count of anchors.
+3. Equal contexts are one, marked ``several`` where it stands for more than one place.
+   Contexts meet by anchor, the prefix that their suffixes share, in shards of bounded
+   size. The operator's solver (suffix trees in ``substrings``, suffix arrays in
+   ``byte_repeats``) finds the repeating windows of a shard.
+4. An anchor with more than ``heavy`` unlike contexts fits no shard; the operator has its
+   own way to split it (``Plan.split``): longer prefixes, or arrays merged across shards.
+5. Spans found in a context go to all places of that context, and to their documents.
+
+Hashes are of 64 bits and compared together with a second one. Joins have plain shuffles
+on both sides, so adaptive execution can split a key that holds many rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,41 +34,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
-from .suffixes import deep_nodes
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SHIFT = np.uint64(31)
 FACTOR = np.uint64(0xBF58476D1CE4E5B9)
+OTHER = np.uint64(0x9FB21C651E98DF25)
+
+
+@dataclass(frozen=True)
+class Contexts:
+    """Contexts of a shard, sorted by anchor: hashes, the anchor's place in each, whether each stands for several places, and bodies."""
+
+    a: np.ndarray
+    c: np.ndarray
+    place: np.ndarray
+    several: np.ndarray
+    body: list[bytes]
 
 
 @dataclass(frozen=True)
 class Plan:
-    """``units``: words or bytes; ``gram`` is a power of two and at most ``length``."""
+    """``units``: words or bytes; ``gram`` is a power of two and at most ``length``; a shard has about ``shard`` bytes.
+
+    ``solve`` gives the context and the place in it of every repeating window of a shard.
+    ``split`` takes the bodies of heavy anchors and gives (a, c, s, e) like ``solved``.
+    """
 
     units: str
     length: int
     gram: int
-    shard: int
-    heavy: int = 6_000
-
-    @property
-    def left(self) -> int:
-        return self.length - self.gram
+    solve: Callable
+    split: Callable
+    shard: int = 1 << 20
+    heavy: int = 3_000
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> SHIFT) * FACTOR
     return (x ^ x >> SHIFT) * FACTOR
 
 
-def _least(x: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
-    """The least (or by ``pick``, greatest) of each ``width`` consecutive entries."""
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive entries."""
     span = 1
     while 2 * span <= width:
-        x = pick(x[:-span], x[span:])
+        x = np.minimum(x[:-span], x[span:])
         span *= 2
-    return pick(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
+    return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
 @lru_cache(2)
@@ -95,10 +104,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a text, runs between ASCII white space, and their hashes, kept up to ``keep`` of them."""
-
-    def __init__(self, keep: int = 200_000):
-        self.keep, self.known = keep, {}
+    """Words of a text, runs between ASCII white space, and their hashes."""
 
     def split(self, text: str | None) -> list[bytes]:
         return (text or "").encode().split()
@@ -106,12 +112,8 @@ class Words:
     def values(self, texts: list[list[bytes]]) -> np.ndarray:
         import xxhash
 
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
         every = [w for text in texts for w in text]
-        for w in set(every).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, 5)
+        known = {w: xxhash.xxh64_intdigest(w, 5) for w in set(every)}
         return np.fromiter(map(known.__getitem__, every), np.uint64, len(every))
 
     def cut(self, text: list[bytes], a: int, b: int) -> bytes:
@@ -119,7 +121,7 @@ class Words:
 
 
 class Bytes:
-    TABLE = np.array([_x for _x in _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE)))], np.uint64)
+    TABLE = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE)))
 
     def split(self, text: str | None) -> bytes:
         return (text or "").encode()
@@ -131,9 +133,7 @@ class Bytes:
         return text[a:b]
 
 
-@lru_cache(2)
-def reader(units: str):
-    return {"words": Words, "bytes": Bytes}[units]()
+READERS = {"words": Words(), "bytes": Bytes()}
 
 
 class Hashes:
@@ -145,52 +145,54 @@ class Hashes:
             self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[b] - self.sums[a]) * self.down[a])
+        return mixed((self.sums[b] - self.sums[a]) * self.down[a])
+
+    def sized(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Hashes that tell stretches of other sizes and places apart."""
+        with np.errstate(over="ignore"):
+            return mixed(self.of(a, b) + (place.astype(np.uint64) * OTHER ^ (b - a).astype(np.uint64) * FACTOR))
 
 
-def anchors(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors of all windows of these documents, and their hashes."""
-    n, length, gram = len(values), plan.length, plan.gram
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def anchors(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place and hash of each anchor of these documents, its first window and how many it has; every window has one anchor."""
+    n, width = len(values), length - gram + 1
+    long = ends - starts >= length
+    if not long.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, span, factor = values, 1, np.uint64(BASE)
     with np.errstate(over="ignore"):
         while span < gram:
             h = h[:-span] + h[span:] * factor
             span, factor = 2 * span, factor * factor
-        h = _mixed(h)
-    h |= np.uint64(1)  # so that 0 means no window
-    width = length - gram + 1
-    least = _least(h, width)
-    edges = np.zeros(len(least) + 1, np.int64)
-    long = ends - starts >= length
-    np.add.at(edges, starts[long], 1)
+        h = mixed(h)
+    # Half of a hash and the place: of equal halves the first counts, which is the same one in equal windows.
+    pick = _least(h >> np.uint64(32) << np.uint64(32) | np.arange(len(h), dtype=np.uint64), width) & np.uint64(0xFFFFFFFF)
+    edges = np.zeros(n + 1, np.int64)
+    edges[starts[long]] += 1
     np.add.at(edges, ends[long] - length + 1, -1)
-    least = np.where(np.cumsum(edges[:-1]) > 0, least, np.uint64(0))
-    pad = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(h == _least(np.concatenate((pad, least, pad)), width, np.maximum))
-    return at, h[at]
+    window = np.flatnonzero(np.cumsum(edges[: len(pick)]) > 0)
+    pick = pick[window].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], pick[1:] != pick[:-1])))
+    return pick[first], h[pick[first]], window[first], np.diff(np.append(first, len(pick)))
 
 
-ANCHORS = "a long, c long, k long, p int"
+ANCHORS = "a long, c long, k long, s int, n int, place int"
 
 
 def _anchor_rows(plan: Plan) -> Callable:
     def run(batches) -> Iterator[pa.RecordBatch]:
-        units = reader(plan.units)
+        units = READERS[plan.units]
 
         def rows(keys: list[int], texts: list) -> pa.RecordBatch:
             values = units.values(texts)
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             ends = np.cumsum(sizes)
             starts = ends - sizes
-            at, h = anchors(values, starts, ends, plan)
+            at, h, s, n = anchors(values, starts, ends, plan.length, plan.gram)
             doc = np.searchsorted(ends, at, side="right")
-            lo = np.maximum(at - plan.left, starts[doc])
-            hi = np.minimum(at + plan.length, ends[doc])
-            with np.errstate(over="ignore"):
-                around = Hashes(values).of(lo, hi) + ((at - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) ^ (hi - lo).astype(np.uint64) * FACTOR)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_mixed(around).view(np.int64)), pa.array(np.array(keys, np.int64)[doc]), pa.array((at - starts[doc]).astype(np.int32))], ["a", "c", "k", "p"])
+            c = Hashes(values).sized(s, s + n + plan.length - 1, at - s)
+            columns = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.array(keys, np.int64)[doc]), *(pa.array(x.astype(np.int32)) for x in (s - starts[doc], n, at - s))]
+            return pa.RecordBatch.from_arrays(columns, ["a", "c", "k", "s", "n", "place"])
 
         for batch in batches:
             keys, texts, total = [], [], 0
@@ -210,137 +212,93 @@ def _anchor_rows(plan: Plan) -> Callable:
     return run
 
 
-CONTEXTS = "a long, k long, first int, several boolean, body binary"
+BODIES = "a long, c long, place int, several boolean, body binary"
 
 
-def _context_rows(plan: Plan) -> Callable:
-    """Contexts of the wanted anchors of each document."""
+def _body_rows(plan: Plan) -> Callable:
+    """Bodies of the wanted contexts of each document."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        units = reader(plan.units)
+        units = READERS[plan.units]
+        names = ["a", "c", "place", "several", "body"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         for batch in batches:
-            a, k, first, several, body = [], [], [], [], []
-            for key, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            rows: list[list] = [[], [], [], [], []]
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 own = units.split(text.as_py())
                 for x in wanted.as_py():
-                    lo = max(x["p"] - plan.left, 0)
-                    a.append(x["a"])
-                    k.append(key.as_py())
-                    first.append(lo)
-                    several.append(x["several"])
-                    body.append(units.cut(own, lo, x["p"] + plan.length))
-                if len(a) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(first, pa.int32()), pa.array(several, pa.bool_()), pa.array(body, pa.binary())], ["a", "k", "first", "several", "body"])
-                    a, k, first, several, body = [], [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(first, pa.int32()), pa.array(several, pa.bool_()), pa.array(body, pa.binary())], ["a", "k", "first", "several", "body"])
+                    for column, value in zip(rows, (x["a"], x["c"], x["place"], x["several"], units.cut(own, x["s"], x["s"] + x["n"] + plan.length - 1)), strict=True):
+                        column.append(value)
+                if len(rows[0]) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
+                    rows = [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
 
     return run
 
 
-def solve(keys: np.ndarray, firsts: np.ndarray, several: np.ndarray, bodies: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start) of every window of these contexts that repeats among them.
-
-    The same window of the same document may stand in several contexts; alone it is no
-    repeat. A context marked ``several`` stands for more than one occurrence.
-    """
-    if plan.units == "bytes":
-        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-        units = np.frombuffer(b"".join(bodies), np.uint8)
-        padded = np.concatenate((units, np.zeros(8, np.uint8)))
-        heads = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(units)].copy().view(">u8").ravel().astype(np.uint64)
-        h = 8
-    else:
-        texts = [x.split() for x in bodies]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        units = heads = reader("words").values(texts)
-        h = 1
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    here = np.arange(len(units))
-    owner = np.repeat(np.arange(len(bodies)), sizes)
-    whole = here + plan.length <= ends[owner]
-    nodes = deep_nodes(units, heads, h, whole, plan.length)
-    if not len(nodes.first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    node = np.repeat(np.arange(len(nodes.first)), nodes.stop - nodes.first)
-    leaf = nodes.leaves[np.repeat(nodes.first - np.concatenate(([0], np.cumsum(nodes.stop - nodes.first)[:-1])), nodes.stop - nodes.first) + np.arange(len(node))]
-    own = owner[leaf]
-    key, at = keys[own], firsts[own] + leaf - starts[own]
-    head = np.concatenate(([0], np.cumsum(nodes.stop - nodes.first)[:-1]))
-    unlike = (np.maximum.reduceat(key, head) != np.minimum.reduceat(key, head)) | (np.maximum.reduceat(at, head) != np.minimum.reduceat(at, head)) | np.logical_or.reduceat(several[own], head)
-    hit = unlike[node]
-    return key[hit], at[hit]
-
-
-def spans(keys: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
-    """Runs of consecutive starts as spans."""
-    order = np.lexsort((at, keys))
-    keys, at = keys[order], at[order]
-    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (at[1:] > at[:-1] + 1))) if len(keys) else np.zeros(0, bool)
+def spans(context: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows of a context: its index, first unit and end."""
+    order = np.lexsort((at, context))
+    context, at = context[order], at[order]
+    new = np.concatenate(([True], (context[1:] != context[:-1]) | (at[1:] > at[:-1] + 1))) if len(at) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(keys))[: len(first)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(at[first].astype(np.int32)), pa.array((at[last] + length).astype(np.int32))], ["k", "s", "e"])
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return context[first], at[first], at[last] + length
+
+
+SOLVED = "a long, c long, s int, e int"
+
 
+def solved_rows(found: Contexts, context: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
+    own, s, e = spans(context, at, length)
+    return pa.RecordBatch.from_arrays([pa.array(found.a[own]), pa.array(found.c[own]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["a", "c", "s", "e"])
 
-def _shards(plan: Plan) -> Callable:
-    """Solves contexts, sorted by anchor, in shards of whole anchors and about ``plan.shard`` bytes."""
 
-    def solved(table: pa.Table) -> pa.RecordBatch:
-        key, at = solve(table.column("k").to_numpy(), table.column("first").to_numpy().astype(np.int64), table.column("several").to_numpy(), table.column("body").to_pylist(), plan)
-        return spans(key, at, plan.length)
+def contexts_of(table: pa.Table) -> Contexts:
+    return Contexts(table.column("a").to_numpy(), table.column("c").to_numpy(), table.column("place").to_numpy(), table.column("several").to_numpy(), table.column("body").to_pylist())
+
+
+def shards(batches, bytes_: int, group: str = "a") -> Iterator[pa.Table]:
+    """Tables of about ``bytes_`` bytes of bodies from rows sorted by ``group``; a group is in one table."""
 
     def cut(table: pa.Table, ended: bool) -> Iterator[pa.Table]:
-        """Shards of the table, and last what is left of it: the last anchor's contexts, unless ``ended``."""
-        group = table.column("a").to_numpy()
-        whole = len(group) if ended else int(np.searchsorted(group, group[-1]))
+        """Shards of the table, and last what is left of it: the last group, unless ``ended``."""
+        key = table.column(group).to_numpy()
+        whole = len(key) if ended else int(np.searchsorted(key, key[-1]))
         sizes = np.cumsum(pc.binary_length(table.column("body")).to_numpy())
         at = 0
         while at < whole:
-            to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + plan.shard)) + 1
-            to = int(np.searchsorted(group, group[min(to, whole) - 1], side="right"))
+            to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + bytes_)) + 1
+            to = int(np.searchsorted(key, key[min(to, whole) - 1], side="right"))
             yield table.slice(at, to - at)
             at = to
         yield table.slice(whole)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += pc.sum(pc.binary_length(batch.column(4))).as_py()
-            if size >= plan.shard:
-                *shards, rest = cut(pa.Table.from_batches(held), False)
-                yield from map(solved, shards)
-                held = rest.to_batches()
-                size = pc.sum(pc.binary_length(rest.column("body"))).as_py() or 0
-        if held:
-            yield from map(solved, [x for x in cut(pa.Table.from_batches(held), True) if x.num_rows])
-
-    return run
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column("body"))).as_py() or 0
+        if size >= bytes_:
+            *whole, rest = cut(pa.Table.from_batches(held), False)
+            yield from whole
+            held = rest.to_batches()
+            size = pc.sum(pc.binary_length(rest.column("body"))).as_py() or 0
+    if held:
+        yield from (x for x in cut(pa.Table.from_batches(held), True) if x.num_rows)
 
 
-def _window_rows(plan: Plan) -> Callable:
-    """Every window of each context, by its hash."""
+def solved(bodies: DataFrame, plan: Plan) -> DataFrame:
+    """a, c, s, e: spans of repeating windows in each context; an anchor's contexts meet in one shard."""
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        units = reader(plan.units)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                texts = [x.as_py() if plan.units == "bytes" else x.as_py().split() for x in some.column(4)]
-                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-                values = units.values(texts)
-                ends = np.cumsum(sizes)
-                owner = np.repeat(np.arange(len(texts)), sizes)
-                at = np.flatnonzero(np.arange(len(values)) + plan.length <= ends[owner])
-                own = owner[at]
-                h = Hashes(values).of(at, at + plan.length)
-                column = lambda i, own=own, some=some: some.column(i).take(pa.array(own))
-                s = some.column(2).to_numpy()[own] + (at - (ends - sizes)[own])
-                yield pa.RecordBatch.from_arrays([column(0), pa.array(h.view(np.int64)), column(1), pa.array(s.astype(np.int32)), column(3)], ["a", "h", "k", "s", "several"])
+    def run(batches):
+        for table in shards(batches, plan.shard):
+            found = contexts_of(table)
+            yield solved_rows(found, *plan.solve(found), plan.length)
 
-    return run
+    return bodies.repartition("a").sortWithinPartitions("a").mapInArrow(run, SOLVED)
 
 
 def repeated_spans(texts: DataFrame, plan: Plan) -> DataFrame:
@@ -349,33 +307,31 @@ def repeated_spans(texts: DataFrame, plan: Plan) -> DataFrame:
     Each step is a table of its own, deleted after its last use, so that the disk holds
     the shuffle of one step at a time.
     """
-    found = written(texts.select("k", "text").mapInArrow(_anchor_rows(plan), ANCHORS), "anchors")
-    often = written(found.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("unlike")), "anchor-counts")
+    found = written(texts.select("k", "text").mapInArrow(_anchor_rows(plan), ANCHORS), "anchors", rows=1_000)
+    often = written(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "anchor-counts")
     places = written(found.join(often, "a"), "places")
     discard(found, often)
-    unlike = places.filter("unlike")
-    contexts = written(unlike.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "p")).alias("at")), "context-counts")
-    alike = unlike.join(contexts.filter("n > 1").select("a", "c"), ["a", "c"]).select("k", "p").union(places.filter("not unlike").select("k", "p"))
-    out = [written(alike.select("k", F.greatest(F.col("p") - plan.left, F.lit(0)).alias("s"), (F.col("p") + plan.length).alias("e")), "alike")]
-    discard(places)
-    many = written(contexts.groupBy("a").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > plan.heavy).select("a"), "heavy-anchors")
-    wanted = contexts.select(F.col("at.k").alias("k"), F.struct(F.col("at.p").alias("p"), F.col("a").alias("a"), (F.col("n") > 1).alias("several")).alias("x"))
+    contexts = written(places.groupBy("a", "c").agg((F.count("*") > 1).alias("several"), F.min(F.struct("k", "s", "n", "place")).alias("at")), "contexts")
+    many = written(contexts.groupBy("a").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > plan.heavy), "heavy-anchors")
+    split = bool(many.limit(1).count())
 
     def bodies(rows: DataFrame) -> DataFrame:
-        asked = rows.groupBy("k").agg(F.collect_list("x").alias("wanted"))
-        return texts.select("k", "text").join(asked, "k").select("k", "text", "wanted").mapInArrow(_context_rows(plan), CONTEXTS)
-
-    light = wanted
-    if many.limit(1).count():
-        light = wanted.join(many, F.col("x.a") == many["a"], "left_anti")
-        windows = written(bodies(wanted.join(many, F.col("x.a") == many["a"], "left_semi")).mapInArrow(_window_rows(plan), "a long, h long, k long, s int, several boolean"), "windows")
-        twice = windows.groupBy("a", "h").agg(F.min(F.struct("k", "s")).alias("lo"), F.max(F.struct("k", "s")).alias("hi"), F.max("several").alias("several"))
-        twice = written(twice.filter("several or lo <> hi").select("a", "h"), "window-counts")
-        out.append(written(windows.join(twice, ["a", "h"]).select("k", "s", (F.col("s") + plan.length).alias("e")), "window-spans"))
-        discard(windows, twice)
-    out.append(written(bodies(light).repartition("a").sortWithinPartitions("a").mapInArrow(_shards(plan), "k long, s int, e int"), "solved"))
+        wanted = F.struct("a", "c", "several", *[F.col(f"at.{x}").alias(x) for x in ("s", "n", "place")])
+        asked = rows.groupBy(F.col("at.k").alias("k")).agg(F.collect_list(wanted).alias("wanted"))
+        return texts.select("k", "text").join(asked, "k").select("text", "wanted").mapInArrow(_body_rows(plan), BODIES)
+
+    out = [written(solved(bodies(contexts.join(many, "a", "left_anti") if split else contexts), plan), "solved", rows=1_000)]
+    if split:
+        large = written(bodies(contexts.join(many, "a", "left_semi")), "heavy-bodies", rows=1_000)
+        out += plan.split(large, many, plan)
+        discard(large)
     discard(contexts, many)
-    return reduce(DataFrame.union, out)
+    every = out[0]
+    for more in out[1:]:
+        every = every.union(more)
+    marked = written(places.join(every, ["a", "c"]).select("k", (places["s"] + every["s"]).alias("s"), (places["s"] + every["e"]).alias("e")), "spans")
+    discard(places, *out)
+    return marked
 
 
 def covered(n: int, s: np.ndarray, e: np.ndarray) -> tuple[list[int], list[int]]:

@@ -46,18 +46,14 @@ def brute_words(rows, length):
 
 
 @pytest.mark.parametrize("heavy", [6000, 1])
-def test_substring_dedup(spark, monkeypatch, heavy):
-    plan = repeats.Plan
-    monkeypatch.setattr(substrings, "Plan", lambda *a, **k: plan(*a, **{**k, "heavy": heavy}))
+def test_substring_dedup(spark, heavy):
     rows = corpus()
-    found = substrings.without_repeats(table(spark, rows), length=12, gram=4)
+    found = substrings.without_repeats(table(spark, rows), length=12, gram=4, heavy=heavy)
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute_words(rows, 12)
 
 
 @pytest.mark.parametrize("heavy", [6000, 1])
-def test_byte_dedup(spark, monkeypatch, heavy):
-    plan = repeats.Plan
-    monkeypatch.setattr(byte_repeats, "Plan", lambda *a, **k: plan(*a, **{**k, "heavy": heavy, "shard": 2000}))
+def test_byte_dedup(spark, heavy):
     rows, length = corpus(1, 16), 40
     raw = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
@@ -69,7 +65,7 @@ def test_byte_dedup(spark, monkeypatch, heavy):
                 gone[i : i + length] = True
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         expected.append((doc_id, len(x), int(gone.sum()), runs, bytes(b for b, g in zip(x, gone[:-1]) if not g)))
-    found = byte_repeats.without_repeats(table(spark, rows), length=length, gram=16)
+    found = byte_repeats.without_repeats(table(spark, rows), length=length, gram=16, heavy=heavy, shard=2000)
     assert sorted(((*tuple(r)[:4], bytes(r[4])) for r in found.collect()), key=str) == sorted(expected, key=str)
 
 
