@@ -91,10 +91,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     for base in (BASE, INVERSE):
         x = np.ones(n, np.uint64)
         step, done = np.uint64(base), 1
-        while done < n:
-            more = min(done, n - done)
-            x[done : done + more] = x[:more] * step
-            step, done = step * step, done + more
+        with np.errstate(over="ignore"):
+            while done < n:
+                more = min(done, n - done)
+                x[done : done + more] = x[:more] * step
+                step, done = step * step, done + more
         out.append(x)
     return out[0], out[1]
 
