@@ -25,11 +25,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a temporary folder of this machine is taken and remembered.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and all runs on
+    this machine, as in tests, a temporary folder is taken and remembered.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loglattice-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

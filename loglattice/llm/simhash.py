@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-PARTS, COMMON, ROUNDS = 64, 200_000, ((1, 1), (2, 8), (9, None))
+PARTS, MOST_PARTS, COMMON, ROUNDS = 64, 2048, 200_000, ((1, 1), (2, 8), (9, None))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -235,36 +235,74 @@ def prefix(own: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray
     return own[:size]
 
 
-def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, table: np.ndarray, similarity: float, first: int, last: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows ``first`` to ``last`` places apart, of one key and two roots, that the pivot table does not discard.
-
-    The table holds how many shingles of a set are in each of ``PARTS`` parts of the hash
-    range. Two sets differ in at least as many shingles as these counts do, and sets of
-    at least ``similarity`` differ in (1 - s) / (1 + s) of their sizes' sum at most.
+def counted(own: np.ndarray) -> bytes:
+    """A set's row of the pivot table: how many of its hashes are in each part of their range; parts grow with the set."""
+    parts = PARTS
+    while parts < MOST_PARTS and 8 * parts < len(own):
+        parts *= 2
+    at = (own >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+class Table:
+    """Rows of the pivot table, of any number of parts each; two rows compare by the parts of the coarser one."""
+
+    def __init__(self, rows: list[bytes]):
+        self.parts = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.place, self.counts = np.zeros(len(rows), np.int64), {}
+        for parts in np.unique(self.parts).tolist():
+            own = np.flatnonzero(self.parts == parts)
+            self.place[own] = np.arange(len(own))
+            self.counts[parts] = np.frombuffer(b"".join([rows[i] for i in own.tolist()]), np.uint8).reshape(-1, parts)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Sums of the differences of the counts: two sets differ in as many shingles at least."""
+        out, x, y = np.zeros(len(i), np.int64), self.parts[i], self.parts[j]
+        for p, own in self.counts.items():
+            for q, other in self.counts.items():
+                some, step, least = np.flatnonzero((x == p) & (y == q)), max(1, (1 << 21) // max(p, q)), min(p, q)
+                for lo in range(0, len(some), step):
+                    at = some[lo : lo + step]
+                    a, b = (counts[self.place[v[at]]].reshape(len(at), least, -1).sum(2, dtype=np.int32) for counts, v in ((own, i), (other, j)))
+                    out[at] = np.abs(a - b).sum(1)
+        return out
+
+
+def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, table: Table, similarity: float, first: int, last: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows ``first`` to ``last`` places apart, of one key and two roots, that may reach ``similarity``.
+
+    ``at`` is the place of the key in the prefix of its set. If this is the first key that
+    two sets share, they share one more than what follows it in either; a pair for which
+    that is too little is left to the bucket of its first key. Sets of at least
+    ``similarity`` differ in (1 - s) / (1 + s) of their sizes' sum at most; the pivot table
+    discards those whose counts differ by more.
     """
     share, n = (1 - similarity) / (1 + similarity), len(key)
-    a, b, at, step = [], [], np.arange(n), first
-    while len(at) and (last is None or step <= last):
-        at = at[: np.searchsorted(at, n - step)]
-        at = at[key[at] == key[at + step]]
-        x = at[root[at] != root[at + step]]
+    a, b, rows, step = [], [], np.arange(n), first
+    while len(rows) and (last is None or step <= last):
+        rows = rows[: np.searchsorted(rows, n - step)]
+        rows = rows[key[rows] == key[rows + step]]
+        x = rows[root[rows] != root[rows + step]]
         for lo in range(0, len(x), 1 << 16):
             i = x[lo : lo + (1 << 16)]
             j = i + step
-            i, j = (v[np.abs(size[i] - size[j]) <= share * (size[i] + size[j]) + 1e-6] for v in (i, j))
-            apart = np.abs(table[i].astype(np.int16) - table[j]).sum(1, dtype=np.int64)
-            near = apart <= share * (size[i] + size[j]) + 1e-6
+            most = share * (size[i] + size[j]) + 1e-6
+            shared = np.minimum(size[i] - at[i], size[j] - at[j])
+            may = (np.abs(size[i] - size[j]) <= most) & (2 * shared >= size[i] + size[j] - most)
+            i, j, most = i[may], j[may], most[may]
+            near = table.apart(i, j) <= most
             a.append(i[near])
             b.append(j[near])
         step += 1
-    return (np.concatenate(a), np.concatenate(b)) if a else (at[:0], at[:0])
+    return (np.concatenate(a), np.concatenate(b)) if a else (rows[:0], rows[:0])
 
 
 def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of every document with an id: groups of copies by links of at least ``similarity``.
 
     Similarity is the Jaccard index of the sets of word shingles, and no pair is lost.
-    Documents of one set are one node. Nodes meet in the buckets of their ``prefix``; the
+    Documents of one set (by a digest of its hashes) are one node; so are all without
+    words, null texts among them, which are copies of each other and of nothing else. Nodes meet in the buckets of their ``prefix``; the
     order that puts common shingles last comes from a sample and bears on speed alone.
     In a bucket the pivot table discards, and the exact index of two sets
     makes a link. Pairs go by their distance in the order of a bucket, in ``ROUNDS``; a pair
@@ -285,7 +323,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
             for lo in range(0, batch.num_rows, 1024):
                 some = batch.slice(lo, 1024)
                 sets = [shingle_hashes(x.as_py(), words) for x in some.column(1)]
-                table = [np.minimum(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for x in sets]
+                table = [counted(x) for x in sets]
                 first = [prefix(x, common, similarity).view(np.int64) for x in sets]
                 columns = [pa.array([digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(table, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([some.column(0), *columns], ["doc_id", "node", "size", "pivots", "keys"])
@@ -297,9 +335,8 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["v", "shingles"])
 
     def solve(rows: pa.Table, first: int, last: int | None):
-        key, node, root, size = (rows.column(x).to_numpy() for x in ("key", "node", "root", "size"))
-        table = np.frombuffer(b"".join(rows.column("pivots").to_pylist()), np.uint8).reshape(-1, PARTS)
-        i, j = near_in_buckets(key, root, size, table, similarity, first, last)
+        key, node, root, size, at = (rows.column(x).to_numpy() for x in ("key", "node", "root", "size", "at"))
+        i, j = near_in_buckets(key, root, size, at, Table(rows.column("pivots").to_pylist()), similarity, first, last)
         if len(i):
             pairs = np.unique(np.column_stack((node[i], node[j])), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -322,9 +359,9 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
     sketches = written(known.mapInArrow(sketch, "doc_id long, node long, size long, pivots binary, keys array<long>"), "copies-sketches")
     nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "pivots", "keys")]), "copies-nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.posexplode("keys").alias("at", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(keyed.join(shared, "key").select("key", "node", "n"), "copies-buckets")
+    met = written(keyed.join(shared, "key").select("key", "node", "at", "n"), "copies-buckets")
     used, links, roots = [sketches, nodes, met], None, None
     for first, last in ROUNDS:
         live = met.withColumn("root", F.col("node"))
@@ -332,7 +369,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
             live = met.filter(F.col("n") > first).join(roots, F.col("node") == F.col("v"), "left").withColumn("root", F.coalesce("root", "node"))
             mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
             live = live.join(mixed, "key", "left_semi")
-        rows = live.select("key", "node", "root").join(nodes.select("node", "size", "pivots"), "node").select("key", "node", "root", "size", "pivots")
+        rows = live.select("key", "node", "at", "root").join(nodes.select("node", "size", "pivots"), "node").select("key", "node", "root", "size", "at", "pivots")
         found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(buckets, first=first, last=last), "a long, b long")
         pairs = written(found.distinct(), "copies-pairs")
         used.append(pairs)

@@ -197,8 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max
 
 
 def scored(docs: DataFrame, model: Linear) -> DataFrame:
-    """The columns of ``docs`` and ``score``, which must not be one of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The columns of ``docs`` and ``score``, in place of a column of that name."""
+    docs, shared = docs.drop("score"), docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches):
