@@ -268,12 +268,13 @@ class Table:
         return out
 
 
-def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, table: Table, similarity: float, first: int, last: int | None) -> tuple[np.ndarray, np.ndarray]:
+def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, before: np.ndarray, table: Table, similarity: float, first: int, last: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows ``first`` to ``last`` places apart, of one key and two roots, that may reach ``similarity``.
 
     ``at`` is the place of the key in the prefix of its set. If this is the first key that
     two sets share, they share one more than what follows it in either; a pair for which
-    that is too little is left to the bucket of its first key. Sets of at least
+    that is too little is left to the bucket of its first key, and so is one that shares
+    the key ``before``, too. Sets of at least
     ``similarity`` differ in (1 - s) / (1 + s) of their sizes' sum at most; the pivot table
     discards those whose counts differ by more.
     """
@@ -288,7 +289,7 @@ def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.
             j = i + step
             most = share * (size[i] + size[j]) + 1e-6
             shared = np.minimum(size[i] - at[i], size[j] - at[j])
-            may = (np.abs(size[i] - size[j]) <= most) & (2 * shared >= size[i] + size[j] - most)
+            may = (np.abs(size[i] - size[j]) <= most) & (2 * shared >= size[i] + size[j] - most) & ((before[i] != before[j]) | (at[i] == 0) | (at[j] == 0))
             i, j, most = i[may], j[may], most[may]
             near = table.apart(i, j) <= most
             a.append(i[near])
@@ -335,8 +336,8 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["v", "shingles"])
 
     def solve(rows: pa.Table, first: int, last: int | None):
-        key, node, root, size, at = (rows.column(x).to_numpy() for x in ("key", "node", "root", "size", "at"))
-        i, j = near_in_buckets(key, root, size, at, Table(rows.column("pivots").to_pylist()), similarity, first, last)
+        key, node, root, size, at, before = (rows.column(x).to_numpy() for x in ("key", "node", "root", "size", "at", "before"))
+        i, j = near_in_buckets(key, root, size, at, before, Table(rows.column("pivots").to_pylist()), similarity, first, last)
         if len(i):
             pairs = np.unique(np.column_stack((node[i], node[j])), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -359,9 +360,9 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
     sketches = written(known.mapInArrow(sketch, "doc_id long, node long, size long, pivots binary, keys array<long>"), "copies-sketches")
     nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "pivots", "keys")]), "copies-nodes")
-    keyed = nodes.select("node", F.posexplode("keys").alias("at", "key"))
+    keyed = nodes.select("node", "keys", F.posexplode("keys").alias("at", "key")).select("node", "at", "key", F.coalesce(F.get("keys", F.col("at") - 1), F.lit(0)).alias("before"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(keyed.join(shared, "key").select("key", "node", "at", "n"), "copies-buckets")
+    met = written(keyed.join(shared, "key").select("key", "node", "at", "before", "n"), "copies-buckets")
     used, links, roots = [sketches, nodes, met], None, None
     for first, last in ROUNDS:
         live = met.withColumn("root", F.col("node"))
@@ -369,7 +370,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
             live = met.filter(F.col("n") > first).join(roots, F.col("node") == F.col("v"), "left").withColumn("root", F.coalesce("root", "node"))
             mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
             live = live.join(mixed, "key", "left_semi")
-        rows = live.select("key", "node", "at", "root").join(nodes.select("node", "size", "pivots"), "node").select("key", "node", "root", "size", "at", "pivots")
+        rows = live.select("key", "node", "at", "before", "root").join(nodes.select("node", "size", "pivots"), "node").select("key", "node", "root", "size", "at", "before", "pivots")
         found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(buckets, first=first, last=last), "a long, b long")
         pairs = written(found.distinct(), "copies-pairs")
         used.append(pairs)
