@@ -126,15 +126,27 @@ class Segment:
 
 #: ASCII punctuation without the apostrophe, which can begin a match of the tokenizer's split.
 PUNCTUATION = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'")
+#: Below this, letters are long assigned and no two of them compose.
+PLAIN_BELOW = "\u0530"
+
+
+def is_plain(stem: str) -> bool:
+    """Whether a run is of letters that stay letters in lower case, so that the split ends with them.
+
+    The capital I with a dot does not: it becomes a letter and a mark, which the split
+    takes together with punctuation that follows.
+    """
+    return stem.isalpha() and max(stem) < PLAIN_BELOW and stem.lower().isalpha()
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose words end at white space.
 
     Its normalizer and its split work within runs between spaces or line feeds, so
-    equal runs have equal ids. Its split also cuts between a letter and punctuation,
-    so a run of letters before punctuation has ids of its own. Ids of runs are kept
-    in two generations of at most ``keep`` entries each.
+    equal runs have equal ids. Its split also cuts between a letter and punctuation, so
+    a run of plain letters (see ``is_plain``) before punctuation has ids of its own; all
+    other runs are encoded as they are. Ids of runs are kept in two generations of at
+    most ``keep`` entries each.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
@@ -143,19 +155,17 @@ class WordEncoder:
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.known, self.old = {}, {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
 
     def _letters(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words of letters alone: each is one run of the split and ends in an end-of-word token."""
+        """Ids of words of plain letters: each is one piece of the split, which its tokens name."""
         for i in range(0, len(words), 256):
             some = words[i : i + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                raw, cuts = ids.tobytes(), cuts.tolist()
-                yield from (raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False))
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            piece = np.array(found.word_ids, np.int64)
+            cuts = np.flatnonzero(piece[1:] != piece[:-1]) + 1
+            if len(cuts) == len(some) - 1:
+                raw, cuts = np.array(found.ids, "<u4").tobytes(), [0, *cuts.tolist(), len(piece)]
+                yield from (raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False))
             else:
                 yield from self._each(some)
 
@@ -170,7 +180,7 @@ class WordEncoder:
                 known[word] = old[word]
                 continue
             stem = word.rstrip(PUNCTUATION)
-            if stem.isalpha():
+            if is_plain(stem):
                 parts.append((word, stem))
                 stems.add(stem)
                 if len(stem) < len(word):

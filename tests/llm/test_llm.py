@@ -112,6 +112,20 @@ def test_token_file(spark):
     assert dac.encoded_documents(table(spark, []), path, 2).count() == 0
 
 
+def test_word_ids_like_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, encoder, rng = Tokenizer.from_file(path), dac.WordEncoder(path, keep=3000), random.Random(5)
+    parts = ["İ", "TEDAVİ", "ADİ", "I\u0307", "e\u0301", "\u0301", "Å", "ß", "Σ", "ΑΣ", "ǅ", "ŉ", "don't", "'s", "'LL", "日本", "한", "ا", "ﬁ", "x1", "12", "_", ".", ",", "/", "'", "<|endoftext|>", "<|", "\t", "\r", "\x1c", "\u00a0", "\u2028", "\u200d", "🙂", "a", "Word", "ПРИВЕТ", "i\u0307", "K", "Å", " ", " ", "\n"]
+    texts = ["İ.", "TEDAVİ.", "ADİ,", "İ/", "İstanbul.", "", " ", None]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(32, 127), rng.randrange(0x250, 0x3000)])) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    expected = [e.ids for e in t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+    found = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), 256) for x in encoder.batch(texts[i : i + 256])]
+    assert [x for x, a, b in zip(texts, found, expected, strict=True) if a != b] == []
+
+
 def test_bpe_like_tiktoken(spark):
     import tiktoken
 
