@@ -188,6 +188,20 @@ RED = ["31", "91", "1;31", "0;31", "41", "101", "31;1", "1;91"]
 ERROR_MARK, GROUP_MARK, END_MARK = "##[error]", "##[group]Run ", "##[endgroup]"
 CLEANUP_MARK, EXIT_MARK = "Post job cleanup.", "##[error]Process completed with exit code"
 
+#: Forms of an answer that names lines to delete, in the order in which they are tried; the first group is the object.
+DELETE_FORMS = [
+    r"```(?:json)?\s*(\{[\s\S]*?\})\s*```",
+    r'(\{\s*"delete"\s*:\s*\[[\d\s,]*\]\s*\})',
+    r'(?s)(\{\s*"delete"\s*:\s*\[.*?\]\s*\})',
+    r'(\{[\s\S]*"delete"[\s\S]*\})',
+]
+#: Forms of an answer that names a method, in the order in which they are tried, in either case.
+METHOD_FORMS = [r"METHOD\s*:\s*([12])", r"METHOD\s+([12])"]
+#: An answer that asks for more lines of a log.
+MORE_FORM = r"NEED_MORE_LINES\|(HEAD|TAIL)\|(\d+)"
+#: What an answer says to stop with.
+STOP_WORD = "SHOULD_TERMINATE"
+
 #: Our own default keywords; a parameter everywhere.
 CRITICAL_KEYWORDS = ["error", "failed", "failure", "fatal", "exception", "traceback", "panic"]
 WARNING_KEYWORDS = ["warning", "deprecated"]

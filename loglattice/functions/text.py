@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Results depend on the patterns from here to STAMP_ANYWHERE.
+#: White space of any kind, as Python's strip() takes it.
+WHITE = "[\\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Everything that ends a line for Python's splitlines(), CR LF as one.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 SGR = "\u001b\\[[0-9;]*m"
@@ -16,7 +19,7 @@ STAMP_ANYWHERE = r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+)Z"
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
 
 
 def line_array(text: Column) -> Column:
@@ -35,7 +38,7 @@ def without_stamp(text: Column) -> Column:
 
 def preprocessed(text: Column) -> Column:
     """Colours, then the leading time stamp, then trailing white space go."""
-    return F.regexp_replace(without_stamp(without_colours(text)), r"\s+$", "")
+    return F.regexp_replace(without_stamp(without_colours(text)), f"{WHITE}+$", "")
 
 
 def without_escapes(text: Column) -> Column:
@@ -51,9 +54,9 @@ def unix_newlines(text: Column) -> Column:
 
 
 def overwritten(text: Column) -> Column:
-    """What a terminal shows after carriage returns: the last part that is not blank."""
+    """What a terminal shows after carriage returns: the last part that is not blank; a text of blank parts stays as it is."""
     parts = F.filter(F.split(text, "\r"), lambda x: trimmed(x) != "")
-    return F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise(F.when(text.contains("\r"), F.lit("")).otherwise(text))
+    return F.when(text.contains("\r") & (F.size(parts) > 0), F.element_at(parts, -1)).otherwise(text)
 
 
 def pruning_text(text: Column, strip_stamp: bool = False) -> Column:

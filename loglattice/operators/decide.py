@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+from ..functions.text import trimmed
+
 RANGE = "array<struct<s:bigint,e:bigint>>"
 
 
@@ -31,15 +34,33 @@ def parsed_ranges(answer: Column, start: Column, end: Column, bounded: bool = Tr
     return F.when(whole, all_).when(none, empty).otherwise(ok) if bounded else F.when(none, empty).when(whole, all_).otherwise(ok)
 
 
+def _first_form(answer: Column, forms: list[str]) -> Column:
+    """The first group of the first of ``forms`` that the answer has; null without any."""
+    return F.coalesce(*[F.when(answer.rlike(x), F.regexp_extract(answer, x, 1)) for x in forms])
+
+
+def _whole(value: Column) -> Column:
+    """A JSON number or truth value as a whole number, cut towards zero."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("long")).when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).otherwise(F.try_variant_get(value, "$", "double").cast("long"))
+
+
 def parsed_deletions(answer: Column) -> Column:
-    """Line numbers of a {"delete": [...]} answer, fenced or not; entries are numbers or objects with line_no. Null if there is none."""
-    fenced = F.regexp_extract(answer, r"```(?:json)?\s*(\{[\s\S]*?\})\s*```", 1)
-    plain = F.regexp_extract(answer, r'\{\s*"delete"\s*:\s*\[[\d\s,]*\]\s*\}', 0)
-    lazy = F.regexp_extract(answer, r'(?s)\{\s*"delete"\s*:\s*\[.*?\]\s*\}', 0)
-    greedy = F.regexp_extract(answer, r'\{[\s\S]*"delete"[\s\S]*\}', 0)
-    found = F.coalesce(*[F.when(x != "", x) for x in (fenced, plain, lazy, greedy)])
-    items = F.from_json(F.get_json_object(found, "$.delete"), "array<string>")
-    return F.transform(items, lambda x: F.coalesce(F.get_json_object(x, "$.line_no").cast("long"), x.try_cast("double").cast("long")))
+    """Distinct line numbers of a {"delete": [...]} answer, fenced or not; null if there is no such list.
+
+    Entries are numbers (true is 1) or objects with a number, or text that spells one, as
+    line_no. Other entries are passed over; an object whose line_no is no number ends the list.
+    """
+    items = F.try_variant_get(F.try_parse_json(_first_form(answer, P.DELETE_FORMS)), "$.delete", "array<variant>")
+    kind = lambda x: F.schema_of_variant(x)
+    named = lambda x: kind(x).startswith("OBJECT") & kind(x).rlike(r"[<, ]line_no:")
+    inner = lambda x: F.try_variant_get(x, "$.line_no", "variant")
+    number = lambda x: kind(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)")
+    spelled = lambda x: F.when(kind(inner(x)) == "STRING", trimmed(F.try_variant_get(inner(x), "$", "string")).try_cast("long")).when(number(inner(x)), _whole(inner(x)))
+    read = F.transform(items, lambda x: F.struct(F.when(named(x), spelled(x)).when(number(x), _whole(x)).alias("n"), named(x).alias("named")))
+    bad = F.array_position(F.transform(read, lambda r: r["named"] & r["n"].isNull()), True)
+    kept = F.when(bad > 0, F.slice(read, F.lit(1), F.greatest(bad.cast("int") - 1, F.lit(0)))).otherwise(read)
+    return F.array_distinct(F.filter(F.transform(kept, lambda r: r["n"]), lambda n: n.isNotNull()))
 
 
 def parsed_restores(answer: Column) -> Column:
@@ -48,12 +69,17 @@ def parsed_restores(answer: Column) -> Column:
     return F.from_json(F.get_json_object(F.when(found != "", found), "$.restore"), "array<bigint>")
 
 
-def parsed_method(answer: Column) -> Column:
-    """1 or 2: METHOD and a digit, else the digit that one of the last five lines consists of, else 1."""
-    named = F.regexp_extract(F.upper(answer), r"METHOD[\s_:#*]*([12])", 1)
-    tail = F.slice(F.reverse(F.split(answer, "\n")), 1, 5)
-    alone = F.filter(F.transform(tail, lambda x: F.trim(x)), lambda x: x.isin("1", "2"))
-    return F.when(named != "", named.cast("long")).when(F.size(alone) > 0, alone[0].cast("long")).otherwise(F.lit(1).cast("long"))
+def parsed_method(answer: Column, default: int | None = 1) -> Column:
+    """1 or 2: METHOD, a colon and a digit, else METHOD, white space and a digit, else the digit that one of the last five lines consists of, else ``default``."""
+    named = _first_form(answer, [f"(?i){x}" for x in P.METHOD_FORMS])
+    tail = F.slice(F.reverse(F.split(trimmed(answer), "\n")), 1, 5)
+    alone = F.filter(F.transform(tail, trimmed), lambda x: x.isin("1", "2"))
+    return F.coalesce(named.cast("long"), F.when(F.size(alone) > 0, alone[0].cast("long")), F.lit(default).cast("long"))
+
+
+def parsed_more(answer: Column) -> Column:
+    """position (HEAD or TAIL) and lines that an answer asks for; null if it asks for none."""
+    return F.when(answer.rlike(P.MORE_FORM), F.struct(F.regexp_extract(answer, P.MORE_FORM, 1).alias("position"), F.regexp_extract(answer, P.MORE_FORM, 2).cast("long").alias("lines")))
 
 
 def parsed_judgment(answer: Column) -> Column:
@@ -63,9 +89,8 @@ def parsed_judgment(answer: Column) -> Column:
 
 
 def parsed_stop(answer: Column) -> Column:
-    """Whether an answer says to stop; no answer says to go on."""
-    upper = F.upper(answer)
-    return F.coalesce(upper.contains("TERMINATE") & ~upper.contains("NOT_TERMINATE"), F.lit(False))
+    """Whether an answer says to stop; any other answer, or none, says to go on."""
+    return F.coalesce(F.upper(answer).contains(P.STOP_WORD), F.lit(False))
 
 
 def rule_method(hits: Column, anchors: Column) -> Column:

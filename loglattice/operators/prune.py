@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import predicates as is_
-from .rangealg import duplicate_runs, kept_ranges, lines_to_ranges
+from .rangealg import kept_ranges, lines_to_ranges, listed, repeated
 
 FILE = "file"
 
@@ -35,19 +35,19 @@ def anchored(lines: DataFrame) -> DataFrame:
     return lines.withColumn("p0", hard).withColumn("p1", F.when(F.col("p0").isNull(), is_.first_type(F.col("text"), P.P1)))
 
 
-def _last(flag: Column, key: str) -> Column:
+def _last(flag: Column, key: str | list[str]) -> Column:
     """The last line strictly before with the flag; 0 if none."""
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*listed(key)).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.last(F.when(flag, F.col("line_no")), True).over(before), F.lit(0))
 
 
-def _next(flag: Column, key: str) -> Column:
+def _next(flag: Column, key: str | list[str]) -> Column:
     """The first line strictly after with the flag; null if none. Read backwards, since a frame to the end is read anew for each row."""
-    after = Window.partitionBy(key).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*listed(key)).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
     return F.last(F.when(flag, F.col("line_no")), True).over(after)
 
 
-def hard_protected(lines: DataFrame, settings: Settings = Settings(), key: str = FILE) -> DataFrame:
+def hard_protected(lines: DataFrame, settings: Settings = Settings(), key: str | list[str] = FILE) -> DataFrame:
     """anchored() lines with ``hard``: anchors, what continues them, bodies of tracebacks, and located errors.
 
     A scan down from an anchor reaches a line if no stopper lies between; the nearest anchor
@@ -72,17 +72,17 @@ def hard_protected(lines: DataFrame, settings: Settings = Settings(), key: str =
     return out.withColumn("hard", F.col("_anchor") | follows | body | located).drop(*flags, "_a", "_s", "_t", "_ts")
 
 
-def soft_protected(lines: DataFrame, settings: Settings = Settings(), key: str = FILE) -> DataFrame:
+def soft_protected(lines: DataFrame, settings: Settings = Settings(), key: str | list[str] = FILE) -> DataFrame:
     """hard_protected() lines with ``soft``: around hard anchors, commands, around soft anchors; never hard ones."""
     out = lines if "hard" in lines.columns else hard_protected(lines, settings, key)
-    order = Window.partitionBy(key).orderBy("line_no")
+    order = Window.partitionBy(*listed(key)).orderBy("line_no")
     near_hard = F.max(F.col("p0").isNotNull()).over(order.rowsBetween(-settings.k_after, settings.k_before))
     half = settings.soft_window // 2
     near_soft = F.max(F.col("p1").isNotNull()).over(order.rowsBetween(-half, half))
     return out.withColumn("_near", near_hard | near_soft | is_.is_command(F.col("text"))).withColumn("soft", ~F.col("hard") & F.col("_near")).drop("_near")
 
 
-def distance_to_hard(lines: DataFrame, key: str = FILE) -> DataFrame:
+def distance_to_hard(lines: DataFrame, key: str | list[str] = FILE) -> DataFrame:
     """Lines with ``apart``: how far the nearest hard line is, 0 for one itself, null without any."""
     no = F.col("line_no")
     before, after = _last(F.col("hard"), key), _next(F.col("hard"), key)
@@ -90,21 +90,19 @@ def distance_to_hard(lines: DataFrame, key: str = FILE) -> DataFrame:
     return lines.withColumn("apart", F.when(F.col("hard"), F.lit(0)).otherwise(nearest).cast("long"))
 
 
-def safe_deletions(lines: DataFrame, settings: Settings = Settings(), key: str = FILE) -> DataFrame:
+def safe_deletions(lines: DataFrame, settings: Settings = Settings(), key: str | list[str] = FILE) -> DataFrame:
     """distance_to_hard() lines with blank_sep, progress, telemetry, repeated and ``safe``, their union without hard lines."""
     out = distance_to_hard(lines, key)
     text = F.col("text")
     clear = lambda d: F.col("apart").isNull() | (F.col("apart") > d)
     hard = F.col("hard")
     out = out.withColumns({"blank_sep": ~hard & is_.is_separator(text) & clear(settings.near), "progress": ~hard & is_.is_progress(text) & clear(settings.far), "telemetry": ~hard & is_.is_telemetry(text) & clear(settings.far)})
-    runs = duplicate_runs(out, "hard", key=key).withColumn("repeated", F.lit(True))
-    out = out.join(runs, [key, "line_no"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
-    return out.withColumn("safe", ~hard & (F.col("blank_sep") | F.col("progress") | F.col("telemetry") | F.col("repeated")))
+    return repeated(out, "hard", key=key).withColumn("safe", ~hard & (F.col("blank_sep") | F.col("progress") | F.col("telemetry") | F.col("repeated")))
 
 
-def critic_rules(lines: DataFrame, deleted: str = "deleted", key: str = FILE) -> DataFrame:
+def critic_rules(lines: DataFrame, deleted: str = "deleted", key: str | list[str] = FILE) -> DataFrame:
     """Lines with ``restored``: deleted hard lines, and deleted soft ones of a file none of whose remaining lines tells of an error."""
-    left = F.max(is_.has_critic_word(F.col("text")) & ~F.col(deleted)).over(Window.partitionBy(key))
+    left = F.max(is_.has_critic_word(F.col("text")) & ~F.col(deleted)).over(Window.partitionBy(*listed(key)))
     return lines.withColumn("_left", left).withColumn("restored", F.col(deleted) & (F.col("hard") | (~F.col("_left") & F.col("soft")))).drop("_left")
 
 
@@ -113,21 +111,21 @@ def merged_deletions(lines: DataFrame) -> DataFrame:
     return lines.withColumn("gone", (F.col("safe") | F.col("proposed")) & ~F.col("restored") & ~F.col("hard"))
 
 
-def simple_pruned(lines: DataFrame, settings: Settings = Settings(), key: str = FILE) -> DataFrame:
+def simple_pruned(lines: DataFrame, settings: Settings = Settings(), key: str | list[str] = FILE) -> DataFrame:
     """The model-free pipeline on one block for each key: lines with ``gone``; a block without anchors keeps all its lines."""
     out = safe_deletions(soft_protected(hard_protected(anchored(lines), settings, key), settings, key), settings, key)
-    some = F.max(F.col("p0").isNotNull() | F.col("p1").isNotNull()).over(Window.partitionBy(key))
+    some = F.max(F.col("p0").isNotNull() | F.col("p1").isNotNull()).over(Window.partitionBy(*listed(key)))
     return out.withColumn("_some", some).withColumn("gone", F.col("safe") & ~F.col("hard") & F.col("_some")).drop("_some")
 
 
-def proposals(lines: DataFrame, answers: DataFrame, key: str = FILE) -> DataFrame:
+def proposals(lines: DataFrame, answers: DataFrame, key: str | list[str] = FILE) -> DataFrame:
     """Lines with ``proposed``: in ``answers`` (key, line_no), from a model or a table, and not hard."""
-    asked = answers.select(key, "line_no", F.lit(True).alias("asked")).distinct()
-    return lines.join(asked, [key, "line_no"], "left").withColumn("proposed", F.coalesce("asked", F.lit(False)) & ~F.col("hard")).drop("asked")
+    asked = answers.select(*listed(key), "line_no", F.lit(True).alias("asked")).distinct()
+    return lines.join(asked, [*listed(key), "line_no"], "left").withColumn("proposed", F.coalesce("asked", F.lit(False)) & ~F.col("hard")).drop("asked")
 
 
-def prune_stats(lines: DataFrame, key: str = FILE) -> DataFrame:
-    return lines.groupBy(key).agg(
+def prune_stats(lines: DataFrame, key: str | list[str] = FILE) -> DataFrame:
+    return lines.groupBy(*listed(key)).agg(
         F.count("*").alias("n_lines"),
         F.count_if("safe").alias("n_safe"),
         F.count_if("hard").alias("n_hard"),
@@ -138,18 +136,18 @@ def prune_stats(lines: DataFrame, key: str = FILE) -> DataFrame:
     )
 
 
-def irrelevant_ranges(lines: DataFrame, key: str = FILE) -> DataFrame:
+def irrelevant_ranges(lines: DataFrame, key: str | list[str] = FILE) -> DataFrame:
     return lines_to_ranges(lines.filter("gone"), key)
 
 
-def relevant_ranges(lines: DataFrame, key: str = FILE) -> DataFrame:
+def relevant_ranges(lines: DataFrame, key: str | list[str] = FILE) -> DataFrame:
     return lines_to_ranges(lines.filter("not gone"), key)
 
 
-def pruned_content(lines: DataFrame, key: str = FILE) -> DataFrame:
+def pruned_content(lines: DataFrame, key: str | list[str] = FILE) -> DataFrame:
     """What is left of each file as numbered text."""
     rows = F.sort_array(F.collect_list(F.when(~F.col("gone"), F.struct("line_no", F.format_string("[%d] %s", "line_no", "text").alias("t")))))
-    return lines.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n").alias("content"))
+    return lines.groupBy(*listed(key)).agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n").alias("content"))
 
 
 def core_mismatch(before: dict[str, Column], after: dict[str, Column]) -> Column:

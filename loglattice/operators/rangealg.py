@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 FILE = "file"
 
 
+def listed(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def merged(ranges: DataFrame, key: str = FILE) -> DataFrame:
     """Ranges united where they overlap or touch."""
     order = Window.partitionBy(key).orderBy("start", "end")
@@ -16,11 +22,11 @@ def merged(ranges: DataFrame, key: str = FILE) -> DataFrame:
     return ranges.withColumn("reach", reach).withColumn("island", island).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def lines_to_ranges(lines: DataFrame, key: str = FILE) -> DataFrame:
+def lines_to_ranges(lines: DataFrame, key: str | list[str] = FILE) -> DataFrame:
     """Runs of consecutive line numbers (distinct) as ranges."""
-    order = Window.partitionBy(key).orderBy("line_no")
-    island = F.col("line_no") - F.row_number().over(order)
-    return lines.select(key, "line_no").distinct().withColumn("island", island).groupBy(key, "island").agg(F.min("line_no").alias("start"), F.max("line_no").alias("end")).drop("island")
+    keys = listed(key)
+    island = F.col("line_no") - F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))
+    return lines.select(*keys, "line_no").distinct().withColumn("island", island).groupBy(*keys, "island").agg(F.min("line_no").alias("start"), F.max("line_no").alias("end")).drop("island")
 
 
 def ranges_to_lines(ranges: DataFrame, key: str = FILE) -> DataFrame:
@@ -77,14 +83,19 @@ def not_contained(ranges: DataFrame, existing: DataFrame, key: str = FILE) -> Da
     return both.withColumn("reach", reach).filter("new = 1 and (reach is null or reach < `end`)").select(key, "start", "end")
 
 
-def duplicate_runs(lines: DataFrame, hard: str | None = None, least: int = 3, key: str = FILE) -> DataFrame:
-    """Lines inside runs of ``least`` or more equal, not blank lines; the first and last of a run stay. A hard line breaks a run."""
-    order = Window.partitionBy(key).orderBy("line_no")
-    body = F.regexp_replace("text", r"^\s+|\s+$", "")
-    stop = F.col(hard) if hard else F.lit(False)
-    marked = lines.withColumn("body", body).withColumn("stop", stop | (F.col("body") == ""))
-    new = F.col("stop") | F.coalesce(F.lag("stop").over(order), F.lit(True)) | (F.col("body") != F.lag("body").over(order))
-    runs = marked.withColumn("run", F.sum(new.cast("int")).over(order))
-    within = Window.partitionBy(key, "run").orderBy("line_no")
-    counted = runs.withColumns({"nth": F.row_number().over(within), "of": F.count("*").over(Window.partitionBy(key, "run"))})
-    return counted.filter((~F.col("stop")) & (F.col("of") >= least) & (F.col("nth") > 1) & (F.col("nth") < F.col("of"))).select(key, "line_no")
+def repeated(lines: DataFrame, hard: str | None = None, least: int = 3, key: str | list[str] = FILE) -> DataFrame:
+    """Lines with ``repeated``: inside a run of ``least`` or more equal, not blank lines, its first and last left out. A hard line breaks a run."""
+    keys = listed(key)
+    order = Window.partitionBy(*keys).orderBy("line_no")
+    marked = lines.withColumn("_body", trimmed(F.col("text"))).withColumn("_stop", (F.col(hard) if hard else F.lit(False)) | (F.col("_body") == ""))
+    new = F.col("_stop") | F.coalesce(F.lag("_stop").over(order), F.lit(True)) | (F.col("_body") != F.lag("_body").over(order))
+    runs = marked.withColumn("_run", F.sum(new.cast("int")).over(order))
+    within = Window.partitionBy(*keys, "_run")
+    counted = runs.withColumns({"_nth": F.row_number().over(within.orderBy("line_no")), "_of": F.count("*").over(within)})
+    inside = ~F.col("_stop") & (F.col("_of") >= least) & (F.col("_nth") > 1) & (F.col("_nth") < F.col("_of"))
+    return counted.withColumn("repeated", inside).drop("_body", "_stop", "_run", "_nth", "_of")
+
+
+def duplicate_runs(lines: DataFrame, hard: str | None = None, least: int = 3, key: str | list[str] = FILE) -> DataFrame:
+    """The lines that ``repeated`` marks."""
+    return repeated(lines, hard, least, key).filter("repeated").select(*listed(key), "line_no")

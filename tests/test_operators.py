@@ -37,6 +37,7 @@ def test_text(spark):
     assert value(spark, T.preprocessed, "2024-01-02T03:04:05.1Z \x1b[31mred\x1b[0m  ") == "red"
     assert value(spark, T.pruning_text, "a\x1b[2Kb\x07\tc") == "ab\tc"
     assert value(spark, T.overwritten, "10%\rdone\r ") == "done"
+    assert [value(spark, T.overwritten, x) for x in (" \r ", "\u00a0\ra", "\r", "a", " ")] == [" \r ", "a", "\r", "a", " "]
     assert value(spark, T.stamp_micros, "﻿2024-01-02T03:04:05.1234567Z x") == 1704164645123456
     assert value(spark, T.stamp_micros, "2024-13-02T03:04:05.1Z") is None
     assert value(spark, lambda t: T.truncated(t, 5, 3), "abcdef") == "abc"
@@ -67,6 +68,7 @@ def test_split_like_exact_statistics(spark):
     found = segment.split_points(lines)
     assert got(found, "line_no") == expected
     tiles = got(segment.segments(lines, found), "start", "end")
+    assert tiles == got(segment.segments(lines), "start", "end")
     assert tiles[0][0] == 1 and tiles[-1][1] == 301 and all(b[0] == a[1] + 1 for a, b in zip(tiles, tiles[1:]))
 
 
@@ -77,7 +79,7 @@ def test_indented_lines_do_not_split(spark):
 
 def test_blocks_without_stamps(spark):
     lines = lines_of(spark, ["a", "b"])
-    assert got(segment.segments(lines, segment.split_points(lines)), "start", "end") == [(1, 2)]
+    assert got(segment.segments(lines), "start", "end", "timestamp_success") == [(1, 2, False)]
 
 
 def test_warning_fallback(spark):
@@ -92,6 +94,12 @@ def test_log_ranges(spark):
     found = got(ranges.log_ranges(lines_of(spark, texts)), "start", "end", "workflow_end")
     assert found == [(1, 2, None), (3, 6, 4), (8, 9, None)]
     assert got(ranges.log_ranges(lines_of(spark, ["a", "b"])), "start", "end") == [(1, 2)]
+    assert got(ranges.log_ranges(lines_of(spark, ["a", "##[endgroup]", "b"])).withColumn("none", F.col("workflow_end").isNull()), "start", "end", "none", "seq") == [(1, 3, True, 1)]
+    late = ["##[group]Run a", "##[error]x", "##[group]Run b", "##[error]y", "##[error]z", "##[endgroup]"]
+    both = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(late)] + [(2, i + 1, t) for i, t in enumerate(late)], "file int, line_no long, text string")
+    keyed = spark.createDataFrame([(1, "RUN a"), (2, "nothing"), (2, "")], "file int, name string")
+    assert got(ranges.step_starts(both, keyed), "file", "error_line", "step_start") == [(1, 2, 1), (1, 4, 1), (1, 5, 1), (2, 2, None), (2, 4, None), (2, 5, None)]
+    assert got(ranges.log_ranges(both, keyed), "file", "start", "end", "seq") == [(1, 1, 6, 1), (2, 1, 2, 1), (2, 3, 6, 2)]
     steps = spark.createDataFrame([("Run b",)], "name string")
     assert got(ranges.log_ranges(lines_of(spark, ["a", "##[group]Run b", "c", "Post job cleanup.", "d"]), steps), "start", "end") == [(2, 4)]
 
@@ -209,7 +217,13 @@ def test_judgment(spark):
 def test_answers(spark):
     one = lambda c, t: value(spark, c, t)
     assert one(decide.parsed_deletions, 'x {"delete": [{"line_no": 4}, 7]} y') == [4, 7]
-    assert one(decide.parsed_deletions, "none") is None
+    assert one(decide.parsed_deletions, "none") is None and one(decide.parsed_deletions, '{"delete": 3}') is None
+    assert one(decide.parsed_deletions, '{"delete": [1, "5", "x", true, 2.9, null, [7], 1, {"line_no": "8"}, {"other": 3}]}') == [1, 2, 8]
+    assert one(decide.parsed_deletions, '{"delete": [4, {"line_no": "x"}, 5]}') == [4] and one(decide.parsed_deletions, '{"delete": []}') == []
+    assert one(decide.parsed_deletions, '{"delete": [1]} and ```json\n{"delete": [2, 3]}\n```') == [2, 3]
+    assert [one(decide.parsed_stop, x) for x in ("SHOULD_TERMINATE (NOT_TERMINATE was weighed)", "CONTINUE_PROCESSING, do not terminate", "should_terminate", "", None)] == [True, False, True, False, False]
+    assert [one(decide.parsed_method, x) for x in ("METHOD_2", "METHOD 1 or so. METHOD: 2", "2\n\n\n\n\n\n\n", "2\na\nb\nc\nd\ne", "Method\u00a0: 2")] == [1, 2, 2, 1, 1]
+    assert tuple(one(decide.parsed_more, "x NEED_MORE_LINES|TAIL|40 y")) == ("TAIL", 40) and one(decide.parsed_more, "need_more_lines|tail|4") is None
     assert one(decide.parsed_restores, '{"restore": [1, 2]}') == [1, 2]
     assert one(decide.parsed_judgment, "CONTAINS_ERROR, not NO_ERROR") is True
     assert [one(decide.parsed_method, x) for x in ("METHOD 2", "so\n2", "?")] == [2, 2, 1]
