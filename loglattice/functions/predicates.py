@@ -94,17 +94,23 @@ def is_telemetry(text: Column) -> Column:
     return text.rlike(any_of(P.TELEMETRY))
 
 
-def first_type(text: Column, listed: list[tuple[str, str]]) -> Column:
+def first_type(text: Column, listed: list[tuple[str, str]], chunk: int = 8) -> Column:
     """Index (from 1) of the first pattern of the list that the line has; null if none.
 
-    One alternation settles the many lines without any; then patterns are tried in order.
+    One alternation settles the many lines without any. Then the alternations of ``chunk``
+    patterns are tried in order, and the patterns of the first that the line has.
     """
-    tried = reduce(lambda done, x: done.when(text.rlike("(?i)" + x[1][0]), F.lit(x[0])), enumerate(listed[1:], 2), F.when(text.rlike("(?i)" + listed[0][0]), F.lit(1)))
-    return F.when(text.rlike(any_of([p for p, _ in listed], True)), tried)
+
+    def tried(first: int, some: list[tuple[str, str]]) -> Column:
+        return F.coalesce(*[F.when(text.rlike("(?i)" + x), F.lit(i)) for i, (x, _) in enumerate(some, first)])
+
+    parts = [(i, listed[i : i + chunk]) for i in range(0, len(listed), chunk)]
+    one = reduce(lambda done, x: done.when(text.rlike(any_of([p for p, _ in x[1]], True)), tried(x[0] + 1, x[1])), parts[1:], F.when(text.rlike(any_of([p for p, _ in parts[0][1]], True)), tried(1, parts[0][1])))
+    return F.when(text.rlike(any_of([p for p, _ in listed], True)), one)
 
 
 def type_name(index: Column, listed: list[tuple[str, str]]) -> Column:
-    return F.element_at(F.array(*[F.lit(t) for _, t in listed]), index)
+    return F.get(F.array(*[F.lit(t) for _, t in listed]), index - 1)  # element_at would read the last one where the index is null
 
 
 def valid_range(start: Column, end: Column, lo: Column | None = None, hi: Column | None = None) -> Column:

@@ -65,6 +65,14 @@ def pruning_text(text: Column, strip_stamp: bool = False) -> Column:
     return without_stamp(clean) if strip_stamp else clean
 
 
+def pruning_lines(content: Column, start: Column | int = 1, strip_stamp: bool = False) -> Column:
+    """Array of (line_no, text) of a block's content as pruning looks at it; the first line has number ``start``."""
+    lines = F.split(unix_newlines(content), "\n", -1)
+    clean = lambda x: pruning_text(x, strip_stamp)
+    first = start if isinstance(start, Column) else F.lit(start)
+    return F.transform(lines, lambda x, i: F.struct((first + i).cast("long").alias("line_no"), overwritten(clean(x)).alias("text")))
+
+
 def truncated(text: Column, limit: int = 10_000, keep: int = 29) -> Column:
     return F.when(F.length(text) > limit, F.substring(text, 1, keep)).otherwise(text)
 
@@ -74,12 +82,13 @@ def shortened(text: Column, limit: int = 300) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
-def excerpt(text: Column, limit: int) -> Column:
+def excerpt(text: Column, limit: int | Column) -> Column:
     """A third of ``limit`` from the head and the rest from the tail, with a note between."""
-    head = limit // 3
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+    head = F.floor(limit / 3).cast("int")
     tail = limit - head
     note = F.concat(F.lit("\n... ["), (F.length(text) - limit).cast("string"), F.lit(" characters omitted] ...\n"))
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, head), note, F.substring(text, -tail, tail))).otherwise(text)
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, F.lit(1), head), note, F.right(text, tail))).otherwise(text)
 
 
 def micros(stamp: Column) -> Column:

@@ -61,4 +61,23 @@ def line_scores(found: DataFrame, labelled: DataFrame, key: str | list[str] = "f
     return out.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
-__all__ = ["CASE", "pending", "resumed", "as_int", "batch_summary", "call_stats", "composition", "line_scores", "ranges_to_lines"]
+def extraction_stats(lines: DataFrame, chosen: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """total_log_lines of each run, total_error_blocks (``chosen`` lines in blocks) and pruned_blocks, those with a range left."""
+    count = lambda rows, name: rows.groupBy(*by).agg(F.countDistinct("block_id").alias(name))
+    out = lines.groupBy(*by).agg(F.count("*").alias("total_log_lines")).join(count(chosen, "total_error_blocks"), by, "left").join(count(ranges, "pruned_blocks"), by, "left")
+    return out.fillna(0, ["total_error_blocks", "pruned_blocks"])
+
+
+def react_stats(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Tool calls (tool, window, found) of each run: expansions, modifications and windows in which something was found."""
+    return calls.groupBy(*by).agg(F.count_if(F.col("tool") == "expand").alias("expansions"), F.count_if(F.col("tool") == "modify").alias("modifications"), F.countDistinct(F.when(F.col("found"), F.col("window"))).alias("windows_with_errors"))
+
+
+def averaged(scores: DataFrame) -> DataFrame:
+    """Micro and macro averages of line_scores() rows: one row for each kind."""
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    total = scores.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    micro = F.struct(F.lit("micro").alias("kind"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    macro = F.struct(F.lit("macro").alias("kind"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
+    return total.select("n", F.inline(F.array(micro, macro)))

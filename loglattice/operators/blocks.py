@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.predicates import has_keyword, is_red
+from ..functions.text import excerpt
 
 FILE = "file"
 
@@ -56,17 +57,39 @@ def expansion_limits(blocks: DataFrame, total: int = 10, key: str = FILE) -> Dat
     return blocks.withColumn("max_down", down).withColumn("max_up", F.lit(total) - F.col("max_down"))
 
 
-def expanded(blocks: DataFrame, up: str = "up", down: str = "down", key: str = FILE) -> DataFrame:
-    """Blocks with exp_start and exp_end: from ``up`` blocks before to ``down`` after, as far as there are any."""
+def expanded(blocks: DataFrame, up: str = "up", down: str = "down", most: int = 10, key: str = FILE, verified: str | None = None) -> DataFrame:
+    """Blocks with exp_start and exp_end: from ``up`` blocks before to ``down`` after (each at most ``most``), as far as there are any.
+
+    A block that the column ``verified`` marks stops the way of others towards and past it.
+    """
     order = Window.partitionBy(key).orderBy("start")
-    numbered = blocks.withColumn("at", F.row_number().over(order)).withColumn("of", F.count("*").over(Window.partitionBy(key)))
-    numbered = numbered.withColumns({"lo": F.greatest(F.col("at") - F.col(up), F.lit(1)), "hi": F.least(F.col("at") + F.col(down), F.col("of"))})
-    ends = numbered.select(key, "at", "start", "end")
-    return (
-        numbered.join(ends.select(key, F.col("at").alias("lo"), F.col("start").alias("exp_start")), [key, "lo"])
-        .join(ends.select(key, F.col("at").alias("hi"), F.col("end").alias("exp_end")), [key, "hi"])
-        .drop("at", "of", "lo", "hi")
-    )
+    wall = F.col(verified) if verified else F.lit(False)
+    before = F.last(F.when(wall, F.col("_at")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last(F.when(wall, F.col("_at")), True).over(Window.partitionBy(key).orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1))
+    out = blocks.withColumn("_at", F.row_number().over(order))
+    starts = F.array(F.col("start"), *[F.lag("start", i).over(order) for i in range(1, most + 1)])
+    ends = F.array(F.col("end"), *[F.lead("end", i).over(order) for i in range(1, most + 1)])
+    out = out.withColumns({"_starts": F.array_compact(starts), "_ends": F.array_compact(ends), "_lo": before, "_hi": after})
+    steps_up = F.least(F.col(up), F.lit(most), F.size("_starts") - 1, F.col("_at") - F.col("_lo") - 1).cast("int")
+    steps_down = F.least(F.col(down), F.lit(most), F.size("_ends") - 1, F.col("_hi") - F.col("_at") - 1).cast("int")
+    return out.withColumns({"exp_start": F.element_at("_starts", steps_up + 1), "exp_end": F.element_at("_ends", steps_down + 1)}).drop("_at", "_starts", "_ends", "_lo", "_hi")
+
+
+def judgment_stats(lines: DataFrame, visited_blocks: DataFrame, planned_blocks: DataFrame, key: str = FILE) -> DataFrame:
+    """Blocks of each file: all (``lines`` in blocks), planned and visited, and the visited ones in the order of the visit."""
+    total = lines.groupBy(key).agg(F.countDistinct("block_id").alias("total_blocks"))
+    planned = planned_blocks.groupBy(key).agg(F.count("*").alias("planned_blocks"))
+    seen = visited_blocks.groupBy(key).agg(F.count("*").alias("visited_blocks"), F.transform(F.sort_array(F.collect_list(F.struct("start", "end")), False), lambda x: F.array(x["start"], x["end"])).alias("visited_detail"))
+    none = F.array().cast("array<array<bigint>>")
+    return total.join(planned, key, "left").join(seen, key, "left").select(key, "total_blocks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("planned_blocks", "visited_blocks")], F.coalesce("visited_detail", none).alias("visited_detail"))
+
+
+def recent_excerpt(blocks: DataFrame, last: int = 6, most: int = 120_000, least: int = 8_000, key: str = FILE) -> DataFrame:
+    """The last ``last`` blocks (start, text) of each file, each cut to its share of ``most`` characters, ``least`` at least."""
+    ranked = blocks.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("start")))).filter(F.col("_nth") <= last)
+    listed = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "text"))).alias("_blocks"))
+    share = F.greatest(F.lit(least), F.floor(F.lit(most) / F.size("_blocks"))).cast("int")
+    return listed.select(key, F.array_join(F.transform("_blocks", lambda b: excerpt(b["text"], share)), "\n\n").alias("excerpt"))
 
 
 def expansion_score(n: str = "n"):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import predicates as is_
-from .rangealg import kept_ranges, lines_to_ranges, listed, repeated
+from .rangealg import lines_to_ranges, listed, repeated
 
 FILE = "file"
 
@@ -31,8 +31,8 @@ class Settings:
 
 def anchored(lines: DataFrame) -> DataFrame:
     """Lines with p0 and p1: the index of the first hard pattern, and of the first soft one where no hard one is."""
-    hard = is_.first_type(F.col("text"), P.P0)
-    return lines.withColumn("p0", hard).withColumn("p1", F.when(F.col("p0").isNull(), is_.first_type(F.col("text"), P.P1)))
+    found = lines.withColumn("p0", is_.first_type(F.col("text"), P.P0))
+    return found.withColumn("p1", F.when(F.col("p0").isNull(), is_.first_type(F.col("text"), P.P1)))
 
 
 def _last(flag: Column, key: str | list[str]) -> Column:
@@ -62,7 +62,7 @@ def hard_protected(lines: DataFrame, settings: Settings = Settings(), key: str |
     one_space = text.rlike("^ ") & ~text.rlike("^  ")
     in_trace = stack | is_.has_exception(text) | (~blank & ~one_space & text.rlike(r"\w+(?:Error|Exception):"))
     trace_stops = ~stack & ~is_.has_exception(text) & ~blank & one_space
-    flags = {"_anchor": F.col("p0").isNotNull(), "_trace": F.coalesce(F.element_at(F.array(*[F.lit(t == "traceback") for _, t in P.P0]), F.col("p0")), F.lit(False)), "_stop": stops, "_tstop": trace_stops, "_on": goes_on, "_body": in_trace}
+    flags = {"_anchor": F.col("p0").isNotNull(), "_trace": F.coalesce(is_.type_name(F.col("p0"), P.P0) == "traceback", F.lit(False)), "_stop": stops, "_tstop": trace_stops, "_on": goes_on, "_body": in_trace}
     out = out.withColumns(flags)
     out = out.withColumns({"_a": _last(F.col("_anchor"), key), "_s": _last(F.col("_stop"), key), "_t": _last(F.col("_trace"), key), "_ts": _last(F.col("_tstop"), key)})
     no = F.col("line_no")
@@ -144,18 +144,64 @@ def relevant_ranges(lines: DataFrame, key: str | list[str] = FILE) -> DataFrame:
     return lines_to_ranges(lines.filter("not gone"), key)
 
 
-def pruned_content(lines: DataFrame, key: str | list[str] = FILE) -> DataFrame:
-    """What is left of each file as numbered text."""
-    rows = F.sort_array(F.collect_list(F.when(~F.col("gone"), F.struct("line_no", F.format_string("[%d] %s", "line_no", "text").alias("t")))))
-    return lines.groupBy(*listed(key)).agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n").alias("content"))
+def asked_anchors(lines: DataFrame, answers: DataFrame, fewer_than: int = 3, shown: int = 200, most: int = 20, key: str | list[str] = FILE) -> DataFrame:
+    """anchored() lines with ``asked``: those a model names (``answers``: key, line_no, nth) where a key has under ``fewer_than`` hard anchors.
+
+    Only the first ``shown`` lines without an anchor are shown to it, and of its answer the
+    first ``most`` numbers count; numbers that are none of the key's, or anchors, do not.
+    """
+    keys = listed(key)
+    named = answers.filter(F.col("nth") <= most).select(*keys, "line_no", F.lit(True).alias("_named")).distinct()
+    free = F.col("p0").isNull() & F.col("p1").isNull()
+    few = F.count("p0").over(Window.partitionBy(*keys)) < fewer_than
+    out = lines.join(named, [*keys, "line_no"], "left")
+    out = out.withColumns({"_few": few, "_nth": F.count_if(free).over(Window.partitionBy(*keys).orderBy("line_no"))})
+    return out.withColumns({"asked": F.col("_few") & free & F.coalesce("_named", F.lit(False)), "shown": F.col("_few") & free & (F.col("_nth") <= shown)}).drop("_few", "_nth", "_named")
+
+
+def strict_candidates(lines: DataFrame, reach: int = 50, key: str | list[str] = FILE) -> DataFrame:
+    """hard_protected() lines with ``strict``: what a strict proposer may delete, blank lines, separators and bare percentages beyond ``reach`` lines of an anchor."""
+    near = F.max(F.col("p0").isNotNull()).over(Window.partitionBy(*listed(key)).orderBy("line_no").rowsBetween(-reach, reach))
+    text = F.col("text")
+    return lines.withColumn("_near", near).withColumn("strict", ~F.col("hard") & ~F.col("_near") & (is_.is_separator(text) | text.rlike(r"^\s*\d+%\s*$"))).drop("_near")
+
+
+CORE = ("message", "exit_code", "command", "exception")
 
 
 def core_mismatch(before: dict[str, Column], after: dict[str, Column]) -> Column:
     """Whether a record of causes lost a core field: one that was missing before never counts."""
     out = F.lit(False)
-    for name in ("message", "exit_code", "command", "exception"):
+    for name in CORE:
         out = out | (before[name].isNotNull() & ~before[name].eqNullSafe(after[name]))
     return out
 
 
-__all__ = ["Settings", "anchored", "hard_protected", "soft_protected", "distance_to_hard", "safe_deletions", "critic_rules", "merged_deletions", "simple_pruned", "proposals", "prune_stats", "irrelevant_ranges", "relevant_ranges", "pruned_content", "core_mismatch", "kept_ranges"]
+def restored_by_evidence(lines: DataFrame, answers: DataFrame, deleted: str = "deleted", key: str | list[str] = FILE) -> DataFrame:
+    """Lines with ``by_evidence``: deleted ones that a model's check of the rest wants back (``answers``: key, line_no)."""
+    wanted = answers.select(*listed(key), "line_no", F.lit(True).alias("_back")).distinct()
+    return lines.join(wanted, [*listed(key), "line_no"], "left").withColumn("by_evidence", F.col(deleted) & F.coalesce("_back", F.lit(False))).drop("_back")
+
+
+def restored_by_cause(lines: DataFrame, causes: DataFrame, deleted: str = "deleted", key: str | list[str] = FILE) -> DataFrame:
+    """Lines with ``by_cause``: deleted ones that mention the cause, where the cause read from what is left lost a core field.
+
+    ``causes`` has a row for each key: message, exit_code, command, exception as read from
+    the whole text, and as left_... from what is left. Empty text is a missing field.
+    """
+    told = {c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)) for c in CORE}
+    left = {c: F.when(F.trim(F.col(f"left_{c}").cast("string")) != "", F.col(f"left_{c}")) for c in CORE}
+    lost = causes.filter(core_mismatch(told, left)).select(*listed(key), F.struct(*[told[c].cast("string").alias(c) for c in CORE]).alias("_cause"))
+    text, cause = F.col("text"), F.col("_cause")
+    code = F.lower(text).contains(F.concat(F.lit("exit code "), cause["exit_code"])) | F.lower(text).contains(F.concat(F.lit("exitcode="), cause["exit_code"]))
+    says = F.coalesce(code, F.lit(False))
+    for name in ("message", "command", "exception"):
+        says = says | F.coalesce(text.contains(cause[name]), F.lit(False))
+    return lines.join(lost, listed(key), "left").withColumn("by_cause", F.col(deleted) & says).drop("_cause")
+
+
+def written_out(lines: DataFrame, deleted: bool = False, key: str | list[str] = FILE) -> DataFrame:
+    """What is left of each key as ``content``, and with ``deleted`` what went as ``deleted_content``, as numbered lines."""
+    shown = lambda flag: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(flag, F.struct("line_no", F.format_string("[%d] %s", "line_no", "text").alias("t"))))), lambda x: x["t"]), "\n")
+    columns = [shown(~F.col("gone")).alias("content"), *([shown(F.col("gone")).alias("deleted_content")] if deleted else [])]
+    return lines.groupBy(*listed(key)).agg(*columns)

@@ -38,19 +38,33 @@ def kept_ranges(blocks: DataFrame, deleted: DataFrame, key: str = FILE) -> DataF
     return lines_to_ranges(ranges_to_lines(blocks, key).join(deleted, [key, "line_no"], "left_anti"), key)
 
 
+def overlapping(a: DataFrame, b: DataFrame, key: str = FILE, cell: int = 1024) -> DataFrame:
+    """Rows of ``a`` (a_start, a_end) with those of ``b`` (b_start, b_end) that they overlap, one row for each pair.
+
+    They meet by cells of ``cell`` lines, in the first that both reach.
+    """
+    parts = lambda rows, x: rows.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(f"{x}_start") / cell), F.floor(F.col(f"{x}_end") / cell))))
+    met = parts(a, "a").join(parts(b, "b"), [key, "_cell"]).filter("a_start <= b_end and b_start <= a_end")
+    return met.filter(F.col("_cell") == F.floor(F.greatest("a_start", "b_start") / cell)).drop("_cell")
+
+
 def subtracted(blocks: DataFrame, ranges: DataFrame, key: str = FILE) -> DataFrame:
     """Each block (start, end) without the ranges, as b_start, b_end, start, end; no line is listed.
 
-    The gaps are those between merged ranges, clipped to the block.
+    What is left begins at the block's start or after a merged range, and ends where the
+    next merged range begins, or with the block.
     """
-    order = Window.partitionBy(key).orderBy("start")
     united = merged(ranges, key)
-    gaps = united.select(key, (F.coalesce(F.lag("end").over(order), F.lit(0)) + 1).alias("g_start"), (F.col("start") - 1).alias("g_end"))
-    tail = united.groupBy(key).agg((F.max("end") + 1).alias("g_start")).withColumn("g_end", F.lit(1 << 62))
-    b = blocks.select(key, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    free = b.join(gaps.union(tail), key).filter("g_start <= g_end and g_start <= b_end and g_end >= b_start")
-    cut = free.select(key, "b_start", "b_end", F.greatest("b_start", "g_start").alias("start"), F.least("b_end", "g_end").alias("end"))
-    return cut.union(b.join(united.select(key).distinct(), key, "left_anti").select(key, "b_start", "b_end", F.col("b_start").alias("start"), F.col("b_end").alias("end")))
+    order = Window.partitionBy(key).orderBy("start")
+    gaps = united.select(key, (F.col("end") + 1).alias("start"), (F.lead("start").over(order) - 1).alias("end"))
+    first = united.groupBy(key).agg((F.min("start") - 1).alias("head"), F.max("end").alias("last"))
+    b = blocks.select(key, F.col("start").alias("b_start"), F.col("end").alias("b_end")).join(first, key, "left")
+    # Before the first range and after the last there is one piece at most; only gaps between ranges are looked up.
+    head = b.filter("head is null or b_start <= head").select(key, "b_start", "b_end", F.col("b_start").alias("start"), F.least("b_end", "head").alias("end"))
+    tail = b.filter("b_end > last").select(key, "b_start", "b_end", F.greatest(F.col("b_start"), F.col("last") + 1).alias("start"), F.col("b_end").alias("end"))
+    inner = gaps.filter("end is not null").select(key, F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    between = overlapping(inner, b.select(key, "b_start", "b_end"), key).select(key, "b_start", "b_end", F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"))
+    return head.union(tail).union(between)
 
 
 def trimmed_against(new: Column, previous: Column) -> Column:

@@ -11,13 +11,13 @@ FILE = "file"
 def search(lines: DataFrame, keyword: str, context: int = 2, first: int = 10, key: str = FILE) -> DataFrame:
     """line_no, total, context of the first matches of each file, any case; the match is marked in its context."""
     order = Window.partitionBy(key).orderBy("line_no")
-    near = order.rowsBetween(-context, context)
-    hit = F.lower("text").contains(keyword.lower())
-    around = F.collect_list(F.struct("line_no", "text")).over(near)
-    shown = F.array_join(F.transform("around", lambda x: F.concat(F.when(x["line_no"] == F.col("line_no"), ">>> ").otherwise("    "), x["text"])), "\n")
-    marked = lines.withColumns({"hit": hit, "around": around}).filter("hit")
-    ranked = marked.withColumns({"nth": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy(key))})
-    return ranked.filter(F.col("nth") <= first).select(key, "line_no", "total", shown.alias("context"))
+    names = [f"_{i}" for i in range(-context, context + 1) if i]
+    around = {f"_{i}": F.lag("text", -i).over(order) if i < 0 else F.lead("text", i).over(order) for i in range(-context, context + 1) if i}
+    marked = lines.withColumns(around).filter(F.lower("text").contains(keyword.lower()))
+    ranked = marked.withColumns({"nth": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy(key))}).filter(F.col("nth") <= first)
+    shown = [F.concat(F.lit("    "), F.col(x)) for x in names]
+    shown.insert(context, F.concat(F.lit(">>> "), F.col("text")))
+    return ranked.select(key, "line_no", "total", F.concat_ws("\n", *shown).alias("context"))
 
 
 def head_tail(lines: DataFrame, head: int, tail: int, key: str = FILE) -> DataFrame:
@@ -34,6 +34,11 @@ def sampled_ends(rows: DataFrame, most: int = 300, key: str = FILE) -> DataFrame
     return ranked.filter((F.col("of") <= most) | (F.col("nth") <= most // 2) | (F.col("nth") > F.col("of") - (most - most // 2))).drop("nth", "of")
 
 
+def ranked(rows: DataFrame, key: str = FILE, by: str = "line_no") -> DataFrame:
+    """Rows with ``nth``, their place in each key."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(by)))
+
+
 def latest(rows: DataFrame, by: str, most: int, key: str = FILE) -> DataFrame:
     """The ``most`` last rows of each key, last first, with their rank."""
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by))))
@@ -48,12 +53,27 @@ def next_lines(lines: DataFrame, cursor: int, count: int, tail: bool = False, ke
     return lines.withColumn("_left", left).filter((F.col("line_no") <= F.col("_left")) & (F.col("line_no") > F.col("_left") - count)).drop("_left")
 
 
-def extracted(lines: DataFrame, ranges: DataFrame, key: str = FILE) -> DataFrame:
-    """Lines of each range, clamped to its file, as one text."""
-    picked = ranges.select(key, "start", "end").join(lines.select(key, "line_no", "text"), key).filter(F.col("line_no").between(F.greatest(F.lit(1), F.col("start")), F.col("end")))
+def extracted(lines: DataFrame, ranges: DataFrame, key: str = FILE, cell: int = 1024) -> DataFrame:
+    """Lines of each range, clamped to its file, as one text. Lines meet ranges by cells of ``cell`` lines, not by whole files."""
+    reach = F.sequence(F.floor(F.greatest(F.lit(1), F.col("start")) / cell), F.floor(F.greatest(F.lit(1), F.col("end")) / cell))
+    cells = ranges.select(key, "start", "end", F.explode(reach).alias("cell"))
+    picked = lines.select(key, "line_no", "text", F.floor(F.col("line_no") / cell).alias("cell")).join(cells, [key, "cell"]).filter(F.col("line_no").between(F.col("start"), F.col("end")))
     return picked.groupBy(key, "start", "end").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("content"))
 
 
 def block_texts(blocked: DataFrame, key: str = FILE) -> DataFrame:
     """Blocks with their text."""
     return blocked.groupBy(key, "block_id").agg(F.min("line_no").alias("start"), F.max("line_no").alias("end"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+def corrected(extractions: DataFrame, corrections: DataFrame, key: str = FILE) -> DataFrame:
+    """Extractions (key, id, start, end) with ``ranges`` and ``version``: those of the last valid correction, else their own as version 0.
+
+    Corrections (key, id, version, answer) are an append-only record; an answer is a JSON
+    array of [start, end] in order. One that is not is kept in the record and changes nothing.
+    """
+    read = F.from_json("answer", "array<array<bigint>>", {"mode": "PERMISSIVE"})
+    good = F.col("_ranges").isNotNull() & (F.size("_ranges") > 0) & F.forall("_ranges", lambda r: F.coalesce((F.size(r) == 2) & (r[0] >= 1) & (r[0] <= r[1]), F.lit(False)))
+    last = corrections.withColumn("_ranges", read).filter(good).groupBy(key, "id").agg(F.max_by("_ranges", "version").alias("_ranges"), F.max("version").alias("_version"))
+    own = F.array(F.array(F.col("start").cast("long"), F.col("end").cast("long")))
+    return extractions.join(last, [key, "id"], "left").select(key, "id", F.coalesce("_ranges", own).alias("ranges"), F.coalesce("_version", F.lit(0)).cast("long").alias("version"))

@@ -13,7 +13,8 @@ from ..functions import text as T
 from ..operators import batch, blocks, decide, prune, rangealg, ranges, search, segment, windows
 from ..sources.synthetic import event_log
 from . import oracle as O
-from .methods import error_ranges, judged_blocks, method_two
+from . import samples as S
+from .methods import chosen_lines, error_ranges, judged_blocks, method_two
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -339,7 +340,7 @@ def prune_stats(spark, sf_dir):
 
 @query(f"WITH {O.LOG}, {O.SAFE}, {O.GONE} SELECT file, string_agg('[' || line_no || '] ' || text, chr(10) ORDER BY line_no) AS content FROM gone WHERE NOT gone GROUP BY file")
 def pruned_content(spark, sf_dir):
-    return prune.pruned_content(_merged(spark, sf_dir))
+    return prune.written_out(_merged(spark, sf_dir))
 
 
 # --- windows ----------------------------------------------------------------------
@@ -626,6 +627,144 @@ def eval_line_prf(spark, sf_dir):
     return batch.line_scores(found, labelled)
 
 
+# --- one line for each pattern -------------------------------------------------------
+
+
+def _samples(spark) -> DataFrame:
+    return spark.createDataFrame(S.lines(), "line_no long, text string")
+
+
+@query(f"WITH {S.sql()}, a AS (SELECT *, {O.first(P.P0)} AS p0 FROM samples) SELECT line_no, p0, {O.P0_TYPE} AS anchor_type, CASE WHEN p0 IS NULL THEN {O.first(P.P1)} END AS p1 FROM a")
+def pattern_samples(spark, sf_dir):
+    return prune.anchored(_samples(spark)).select("line_no", "p0", is_.type_name(F.col("p0"), P.P0).alias("anchor_type"), "p1")
+
+
+@query(f"WITH {S.sql()} SELECT line_no, {O.STACK} AS stack, {O.COMMAND} AS command, {O.LOCATION} AS location, {O.ERROR_WORD} AS error_word, {O.EXCEPTION} AS exception, {O.NEW_ERROR} AS new_error, {O.CRITIC} AS critic, {O.SEPARATOR} AS separator, {O.PROGRESS} AS progress, {O.TELEMETRY} AS telemetry, {O.IS_RED} AS red FROM samples")
+def predicate_samples(spark, sf_dir):
+    t = F.col("text")
+    return _samples(spark).select("line_no", is_.is_stack(t).alias("stack"), is_.is_command(t).alias("command"), is_.has_location(t).alias("location"), is_.is_error_related(t).alias("error_word"), is_.has_exception(t).alias("exception"), is_.is_new_error(t).alias("new_error"), is_.has_critic_word(t).alias("critic"), is_.is_separator(t).alias("separator"), is_.is_progress(t).alias("progress"), is_.is_telemetry(t).alias("telemetry"), is_.is_red(t).alias("red"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' ' || chr(13) || ' ' WHEN 1 THEN 'b' WHEN 2 THEN chr(13) ELSE 'c' END AS shown FROM orders")
+def carriage_return_blank(spark, sf_dir):
+    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN ' \r ' WHEN 1 THEN 'a\rb\r' WHEN 2 THEN '\r' ELSE 'c' END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.overwritten(text).alias("shown"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 IN (0, 2) AS stop FROM orders")
+def parse_stop(spark, sf_dir):
+    answer = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'should_terminate' WHEN 1 THEN 'CONTINUE_PROCESSING, do not terminate' WHEN 2 THEN 'SHOULD_TERMINATE (NOT_TERMINATE was weighed)' END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", decide.parsed_stop(answer).alias("stop"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'HEAD' WHEN 1 THEN 'TAIL' END AS position, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey % 90 END AS lines FROM orders")
+def parse_more(spark, sf_dir):
+    answer = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'x NEED_MORE_LINES|HEAD|' || (o_orderkey % 90) WHEN 1 THEN 'NEED_MORE_LINES|TAIL|' || (o_orderkey % 90) || ' or NEED_MORE_LINES|HEAD|1' ELSE 'need_more_lines|HEAD|3' END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", decide.parsed_more(answer).alias("m")).select("o_orderkey", "m.position", "m.lines")
+
+
+@query("SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 END AS BIGINT) AS method FROM orders")
+def parse_method_forms(spark, sf_dir):
+    answer = F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'METHOD 1 or so. method: 2' WHEN 1 THEN 'MeThOd\t\n1' WHEN 2 THEN '2\n\n\n\n\n\n' WHEN 3 THEN 'METHOD_2\n1\nno' ELSE '2\na\nb\nc\nd\ne' END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", decide.parsed_method(answer, None).alias("method"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '1,2,8' WHEN 1 THEN '4' WHEN 2 THEN '' END AS lines FROM orders")
+def parse_delete_entries(spark, sf_dir):
+    answer = F.expr("""CASE o_orderkey % 4 WHEN 0 THEN '{"delete": [1, "5", "x", true, 2.9, null, {"line_no": "8"}, {"b": 1}]}' WHEN 1 THEN '{"delete": [4, {"line_no": "x"}, 5]}' WHEN 2 THEN '{"delete": []}' ELSE '{"delete": 3}' END""")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(decide.parsed_deletions(answer), ",").alias("lines"))
+
+
+_STEP_OF = "starts_with({t}, '##[group]Run step ' || (file + 1)) AND file <= 4"
+
+
+def _steps(spark) -> DataFrame:
+    return spark.createDataFrame([(f, f"Run step {f + 1}") for f in range(5)], "file long, name string")
+
+
+@query(f"WITH {O.LOG}, {O.MARKS}, totals AS (SELECT file, max(line_no) AS n FROM log GROUP BY file), named AS (SELECT file, line_no FROM varied WHERE {_STEP_OF.format(t='t')}), begun AS (SELECT e.file, e.line_no, e.exits, coalesce((SELECT max(s.line_no) FROM named s WHERE s.file = e.file AND s.line_no <= e.line_no), (SELECT max(g.line_no) FROM marks g WHERE g.file = e.file AND g.kind = 'group' AND g.line_no < e.line_no), 1) AS start FROM marks e WHERE e.kind = 'error'), lasts AS (SELECT file, start, min(line_no) AS first, max(line_no) AS line_no, arg_max(exits, line_no) AS exits FROM begun GROUP BY file, start), found AS (SELECT l.file, l.start, l.first, CASE WHEN exits THEN l.line_no ELSE coalesce((SELECT min(g.line_no) - 1 FROM marks g WHERE g.file = l.file AND g.kind IN ('group', 'cleanup') AND g.line_no > l.line_no), t.n) END AS \"end\" FROM lasts l JOIN totals t USING (file)) SELECT file, start, \"end\", (SELECT min(m.line_no) FROM marks m WHERE m.file = f.file AND m.kind = 'endgroup' AND m.line_no BETWEEN f.start AND f.\"end\") AS workflow_end, row_number() OVER (PARTITION BY file ORDER BY first) AS seq FROM found f")
+def step_ranges(spark, sf_dir):
+    return ranges.log_ranges(log(spark, sf_dir).withColumn("text", _varied()), _steps(spark))
+
+
+@query(f"WITH {O.LOG}, u AS (SELECT file, line_no, CASE WHEN starts_with(text, '##[error]') THEN 'plain' ELSE text END AS t FROM log), p AS (SELECT file, max(line_no) AS n, max(line_no) FILTER ({_STEP_OF.format(t='t')}) AS named_at FROM u GROUP BY file), r AS (SELECT file, coalesce(named_at, 1) AS start, named_at, coalesce((SELECT min(c.line_no) FROM u c WHERE c.file = p.file AND c.line_no >= p.named_at AND contains(c.t, 'Post job cleanup.')), n) AS \"end\" FROM p) SELECT file, start, \"end\", (SELECT min(m.line_no) FROM u m WHERE m.file = r.file AND starts_with(m.t, '##[endgroup]') AND m.line_no BETWEEN r.named_at AND r.\"end\") AS workflow_end, CAST(1 AS BIGINT) AS seq FROM r")
+def unmarked_ranges(spark, sf_dir):
+    plain = F.when(F.col("text").startswith(P.ERROR_MARK), F.lit("plain")).otherwise(F.col("text"))
+    return ranges.log_ranges(log(spark, sf_dir).withColumn("text", plain), _steps(spark))
+
+
+# --- statistics, corrections, causes ---------------------------------------------------
+
+
+@query(f"WITH {O.LOG}, {O.JUDGED}, {O.HITS}, t AS (SELECT file, count(DISTINCT block_id) AS total_blocks FROM blocked GROUP BY file), p AS (SELECT b.file, count(DISTINCT b.block_id) AS planned_blocks FROM blocked b JOIN hits h USING (file, line_no) WHERE h.hit GROUP BY b.file), s AS (SELECT file, min(seq) FILTER (clean_run >= 2 AND errors > 0) AS stop_seq FROM judged GROUP BY file), v AS (SELECT file, count(*) AS visited_blocks, string_agg(start || '-' || \"end\", ',' ORDER BY start DESC) AS visited FROM judged JOIN s USING (file) WHERE stop_seq IS NULL OR seq <= stop_seq GROUP BY file) SELECT file, total_blocks, coalesce(planned_blocks, 0) AS planned_blocks, visited_blocks, visited FROM t LEFT JOIN p USING (file) JOIN v USING (file)")
+def block_statistics(spark, sf_dir):
+    lines = blocked(log(spark, sf_dir))
+    seen = blocks.visited(blocks.judged(judged_blocks(log(spark, sf_dir))), 2)
+    out = blocks.judgment_stats(lines, seen, blocks.blocks_with_hits(blocks.hits(lines)))
+    return out.select("file", "total_blocks", "planned_blocks", "visited_blocks", F.array_join(F.transform("visited_detail", lambda r: F.concat(r[0], F.lit("-"), r[1])), ",").alias("visited"))
+
+
+@query(O.FLAGSHIP.split("SELECT file, min(line_no) AS start, max(line_no)")[0] + ", t AS (SELECT file, count(*) AS total_log_lines FROM log GROUP BY file), c AS (SELECT file, count(DISTINCT part) AS n FROM chosen GROUP BY file), i AS (SELECT file, count(DISTINCT part) AS n FROM islands GROUP BY file) SELECT t.file, total_log_lines, coalesce(c.n, 0) AS total_error_blocks, coalesce(i.n, 0) AS pruned_blocks FROM t LEFT JOIN c ON c.file = t.file LEFT JOIN i ON i.file = t.file")
+def extraction_stats(spark, sf_dir):
+    lines = log(spark, sf_dir)
+    return batch.extraction_stats(lines, chosen_lines(lines), error_ranges(lines), ["file"])
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderkey % 3 = 0) AS expansions, count(*) FILTER (o_orderkey % 3 = 1) AS modifications, count(DISTINCT o_orderkey % 7) FILTER (o_orderkey % 2 = 0) AS windows_with_errors FROM orders GROUP BY o_custkey")
+def react_stats(spark, sf_dir):
+    calls = table(spark, sf_dir, "orders").select("o_custkey", F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'expand' WHEN 1 THEN 'modify' ELSE 'search' END").alias("tool"), F.expr("o_orderkey % 7").alias("window"), F.expr("o_orderkey % 2 = 0").alias("found"))
+    return batch.react_stats(calls, ["o_custkey"])
+
+
+@query("WITH v AS (SELECT o_custkey, o_orderkey % 5 AS id, max(o_orderkey) AS version FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1, 2), e AS (SELECT DISTINCT o_custkey, o_orderkey % 5 AS id FROM orders) SELECT o_custkey, e.id, CASE WHEN version IS NULL THEN '3-9' ELSE '1-2;' || (version + 1) || '-' || (version + 3) END AS ranges, coalesce(version, 0) AS version FROM e LEFT JOIN v USING (o_custkey, id)")
+def corrected_extractions(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("id", F.expr("o_orderkey % 5"))
+    found = orders.select("o_custkey", "id").distinct().withColumns({"start": F.lit(3), "end": F.lit(9)})
+    answer = F.expr("CASE o_orderkey % 4 WHEN 0 THEN '[[1,2],[' || (o_orderkey + 1) || ',' || (o_orderkey + 3) || ']]' WHEN 1 THEN '[[5,3]]' WHEN 2 THEN 'no' ELSE '[[1,2,3]]' END")
+    out = search.corrected(found, orders.select("o_custkey", "id", F.col("o_orderkey").alias("version"), answer.alias("answer")), "o_custkey")
+    return out.select("o_custkey", "id", F.array_join(F.transform("ranges", lambda r: F.concat(r[0], F.lit("-"), r[1])), ";").alias("ranges"), "version")
+
+
+_PART = "(file * 1000 + line_no // 40)"
+
+
+@query(f"WITH {O.LOG}, {O.ANCHORS}, g AS (SELECT *, {_PART} AS part, p0 IS NULL AND p1 IS NULL AS free FROM anchors), n AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY line_no) AS nth FROM g WHERE line_no % 5 = 0), f AS (SELECT *, count(p0) OVER (PARTITION BY part) < 3 AS few, count(*) FILTER (free) OVER (PARTITION BY part ORDER BY line_no) AS k FROM g) SELECT file, line_no, EXISTS (SELECT 1 FROM n WHERE n.file = f.file AND n.line_no = f.line_no AND n.nth <= 2) AS asked FROM f WHERE few AND free AND (k <= 9 OR EXISTS (SELECT 1 FROM n WHERE n.file = f.file AND n.line_no = f.line_no AND n.nth <= 2))")
+def asked_anchors(spark, sf_dir):
+    lines = prune.anchored(log(spark, sf_dir)).withColumn("part", F.col("file") * 1000 + F.floor(F.col("line_no") / 40))
+    answers = search.ranked(lines.filter("line_no % 5 = 0"), "part").select("part", "line_no", "nth")
+    return prune.asked_anchors(lines, answers, shown=9, most=2, key="part").filter("shown or asked").select("file", "line_no", "asked")
+
+
+@query(f"WITH {O.LOG}, {O.PROTECT}, n AS (SELECT *, bool_or(is_anchor) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM protect) SELECT file, line_no FROM n WHERE NOT hard AND NOT near AND ({O.SEPARATOR} OR regexp_matches(text, '^\\s*\\d+%\\s*$'))")
+def strict_candidates(spark, sf_dir):
+    return prune.strict_candidates(prune.hard_protected(log(spark, sf_dir)), 3).filter("strict").select("file", "line_no")
+
+
+@query(f"WITH {O.LOG} SELECT file, line_no FROM log WHERE line_no % 2 = 0 AND ((file % 3 = 0 AND (contains(text, 'bad 7') OR contains(text, 'ValueError'))) OR (file % 3 = 1 AND contains(lower(text), 'exit code 1')) OR (line_no % 10 = 0 AND file = 2))")
+def restored_lines(spark, sf_dir):
+    lines = log(spark, sf_dir).withColumn("deleted", F.col("line_no") % 2 == 0)
+    causes = lines.select("file").distinct().selectExpr("file", "CASE file % 3 WHEN 0 THEN 'bad 7' WHEN 2 THEN '' END AS message", "CASE WHEN file % 3 = 1 THEN 1 END AS exit_code", "'' AS command", "CASE WHEN file % 3 = 0 THEN 'ValueError' END AS exception", "'else' AS left_message", "CAST(NULL AS INT) AS left_exit_code", "'x' AS left_command", "'y' AS left_exception")
+    out = prune.restored_by_cause(prune.restored_by_evidence(lines, lines.filter("line_no % 5 = 0 and file = 2")), causes)
+    return out.filter("by_cause or by_evidence").select("file", "line_no")
+
+
+@query(f"WITH {O.LOG}, {O.SAFE}, {O.GONE} SELECT file, string_agg('[' || line_no || '] ' || text, chr(10) ORDER BY line_no) FILTER (NOT gone) AS content, string_agg('[' || line_no || '] ' || text, chr(10) ORDER BY line_no) FILTER (gone) AS deleted_content FROM gone GROUP BY file")
+def deleted_content(spark, sf_dir):
+    return prune.written_out(_merged(spark, sf_dir), deleted=True)
+
+
+@query(f"WITH {O.LOG}, {O.JUDGED}, x AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY start) AS i, row_number() OVER (PARTITION BY file ORDER BY start) % 4 = 0 AS wall FROM errs), y AS (SELECT *, max(CASE WHEN wall THEN i END) OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, min(CASE WHEN wall THEN i END) OVER (PARTITION BY file ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM x) SELECT a.file, a.start, min(b.start) AS exp_start, max(b.\"end\") AS exp_end FROM y a JOIN x b ON b.file = a.file AND b.i BETWEEN greatest(a.i - 2, coalesce(a.lo + 1, 1)) AND least(a.i + 3, coalesce(a.hi - 1, 1000000)) GROUP BY a.file, a.start")
+def expanded_to_verified(spark, sf_dir):
+    found = search.ranked(judged_blocks(log(spark, sf_dir)), "file", "start")
+    out = blocks.expanded(found.withColumns({"wall": F.col("nth") % 4 == 0, "up": F.lit(2), "down": F.lit(3)}), verified="wall")
+    return out.select("file", "start", "exp_start", "exp_end")
+
+
+@query(f"WITH {O.LOG}, {O.BLOCKS}, t AS (SELECT file, block_id, min(line_no) AS start, string_agg(text, chr(10) ORDER BY line_no) AS text FROM blocked GROUP BY file, block_id), l AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY start DESC) AS nth FROM t), s AS (SELECT *, CAST(greatest(90, 600 // count(*) OVER (PARTITION BY file)) AS BIGINT) AS m FROM l WHERE nth <= 3), c AS (SELECT *, CASE WHEN length(text) > m THEN left(text, m // 3) || chr(10) || '... [' || (length(text) - m) || ' characters omitted] ...' || chr(10) || right(text, m - m // 3) ELSE text END AS cut FROM s) SELECT file, string_agg(cut, chr(10) || chr(10) ORDER BY start) AS excerpt FROM c GROUP BY file")
+def recent_excerpt(spark, sf_dir):
+    return blocks.recent_excerpt(search.block_texts(blocked(log(spark, sf_dir))), 3, 600, 90)
+
+
 # --- whole method -----------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Mapping
@@ -75,3 +76,29 @@ def configured(given: Mapping[str, Any], base: Any = Config(), env: Mapping[str,
             raise KeyError(f"no such settings: {sorted(extra)}")
         changes["extra"] = extra
     return replace(base, **changes)
+
+
+def env_file(path: str) -> dict[str, str]:
+    """NAME=value lines of a file; comments, blank lines and quotes around values are dropped. None without the file."""
+    out = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                name, eq, value = line.strip().removeprefix("export ").partition("=")
+                if eq and not name.startswith("#"):
+                    out[name.strip()] = value.strip().strip("\"'")
+    return out
+
+
+def loaded(path: str, env: Mapping[str, str] | None = None) -> Config:
+    """Settings from a YAML or JSON file beside which an .env file may stand; YAML needs PyYAML."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    if path.endswith(".json"):
+        given = json.loads(text or "{}")
+    else:
+        import yaml
+
+        given = yaml.safe_load(text) or {}
+    known = env_file(os.path.join(os.path.dirname(path), ".env")) | dict(os.environ if env is None else env)
+    return configured(given, env=known)

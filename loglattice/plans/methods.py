@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, prune, ranges, segment, windows
+from ..operators import blocks, decide, prune, rangealg, ranges, segment, windows
 from ..operators.prune import Settings
 
 
@@ -48,3 +48,26 @@ def method_two(lines: DataFrame, size: int = 300, step: int = 270, key: str = "f
     """Method 2 up to the question for each window: windows over the ranges between markers."""
     found = ranges.log_ranges(lines, key=key).select(key, "start", "end").distinct()
     return windows.windows(found, size, step).select(key, "start", "end", "w_start", "w_end")
+
+
+def window_ranges(lines: DataFrame, settings: Settings = Settings(), size: int = 300, step: int = 270, key: str = "file") -> DataFrame:
+    """Method 2 without a model: key, start, end of what windows find, merged.
+
+    Our rule for a window: its hard lines, if one of them is an anchor. What an earlier
+    window found is not found again, since ranges that touch are merged.
+    """
+    hard = prune.hard_protected(lines.select(key, "line_no", "text"), settings, key)
+    asked = method_two(lines, size, step, key)
+    held = rangealg.overlapping(
+        rangealg.lines_to_ranges(hard.filter("hard"), key).select(key, F.col("start").alias("a_start"), F.col("end").alias("a_end")),
+        asked.select(key, F.col("w_start").alias("b_start"), F.col("w_end").alias("b_end")),
+        key,
+    )
+    found = held.select(key, F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"))
+    return rangealg.merged(found, key)
+
+
+def chosen_method(lines: DataFrame, key: str = "file") -> DataFrame:
+    """key, method of each file by rule: 1 where a keyword or a hard anchor was found, else 2."""
+    found = prune.anchored(blocks.hits(lines, key=key))
+    return found.groupBy(key).agg(decide.rule_method(F.count_if("hit"), F.count("p0")).cast("int").alias("method"))

@@ -62,11 +62,11 @@ found AS (SELECT l.file, l.start, CASE WHEN e.exits THEN l.line_no ELSE coalesce
 """
 
 
-def _first(listed: list[tuple[str, str]]) -> str:
+def first(listed: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join("WHEN " + _any([p], options="i") + f" THEN {i}" for i, (p, _) in enumerate(listed, 1)) + " END"
 
 
-ANCHORS = f"anchors AS (SELECT *, CASE WHEN p0 IS NULL THEN {_first(P.P1)} END AS p1 FROM (SELECT *, {_first(P.P0)} AS p0 FROM log))"
+ANCHORS = f"anchors AS (SELECT *, CASE WHEN p0 IS NULL THEN {first(P.P1)} END AS p1 FROM (SELECT *, {first(P.P0)} AS p0 FROM log))"
 P0_TYPE = "[" + ", ".join(f"'{t}'" for _, t in P.P0) + "][p0]"
 STACK, COMMAND, LOCATION = _any(P.STACK), _any(P.COMMAND), _any(P.LOCATION)
 ERROR_WORD, EXCEPTION, NEW_ERROR = _any(P.ERROR_WORDS, options="i"), _any(P.EXCEPTION_SIGNS), _any(P.NEW_ERROR)
