@@ -9,8 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a batch that Python gets; Spark's own default is many for rows of whole texts.
+BATCH, ROWS, DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000", "10000"
+
+
 def reach(spark: SparkSession) -> None:
-    """Let Python workers import this package where the driver found it; elsewhere pass it by --py-files."""
+    """Let Python workers import this package where the driver found it; elsewhere pass it by --py-files.
+
+    Batches of Spark's default size are made smaller, for bounded memory.
+    """
+    if spark.conf.get(BATCH, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, ROWS)
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in known.split(os.pathsep):
@@ -44,9 +53,6 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def written(df: DataFrame, name: str, compression: str = "zstd", rows: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back; cuts lineage.
 
@@ -56,7 +62,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd", rows: int = 0)
     spark = df.sparkSession
     path = new_path(spark, name)
     meanwhile = {CLEANUP: "true"} | ({BATCH: str(rows)} if rows else {})
-    before = {key: spark.conf.get(key, "false" if key == CLEANUP else "10000") for key in meanwhile}
+    before = {key: spark.conf.get(key, "false" if key == CLEANUP else DEFAULT_ROWS) for key in meanwhile}
     for key, value in meanwhile.items():
         spark.conf.set(key, value)
     try:

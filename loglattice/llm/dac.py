@@ -136,7 +136,7 @@ def is_plain(stem: str) -> bool:
     The capital I with a dot does not: it becomes a letter and a mark, which the split
     takes together with punctuation that follows.
     """
-    return stem.isalpha() and max(stem) < PLAIN_BELOW and stem.lower().isalpha()
+    return stem.isalpha() and (stem.isascii() or max(stem) < PLAIN_BELOW and stem.lower().isalpha())
 
 
 class WordEncoder:
@@ -155,49 +155,47 @@ class WordEncoder:
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.known, self.old = {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # With an ending symbol for each of the 256 bytes, a word has one ending token, its last.
+        self.whole = sum(len(token) == 5 for token in vocabulary if token.endswith("</w>")) >= 256
 
     def _letters(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words of plain letters: each is one piece of the split, which its tokens name."""
-        for i in range(0, len(words), 256):
-            some = words[i : i + 256]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            piece = np.array(found.word_ids, np.int64)
-            cuts = np.flatnonzero(piece[1:] != piece[:-1]) + 1
-            if len(cuts) == len(some) - 1:
-                raw, cuts = np.array(found.ids, "<u4").tobytes(), [0, *cuts.tolist(), len(piece)]
-                yield from (raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False))
-            else:
-                yield from self._each(some)
+        """Ids of words of plain letters: each is one piece of the split, which ends with its only ending token."""
+        if not self.whole:
+            yield from self._each(words)
+            return
+        for i in range(0, len(words), 1 << 14):
+            listed = [words[j : j + 256] for j in range(i, min(i + (1 << 14), len(words)), 256)]
+            for some, found in zip(listed, self.tokenizer.encode_batch_fast([" ".join(x) for x in listed], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, "<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(some):
+                    yield from self._each(some)
+                    continue
+                raw, cuts = ids.tobytes(), cuts.tolist()
+                yield from (raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False))
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
         known, old = self.known, self.old
-        parts, odd, stems = [], [], set()
-        for word in words:
-            if word in old:
-                known[word] = old[word]
-                continue
-            stem = word.rstrip(PUNCTUATION)
-            if is_plain(stem):
-                parts.append((word, stem))
-                stems.add(stem)
-                if len(stem) < len(word):
-                    odd.append(word[len(stem) :])
-            else:
-                odd.append(word)
-        plain = [x for x in stems if x not in known and x not in old]
+        before = [x for x in words if x in old]
+        known.update(zip(before, map(old.__getitem__, before), strict=True))
+        new = words.difference(before)
+        plain = [x for x in new if is_plain(x)]
+        rest = new.difference(plain)
+        parts = [(x, stem, x[len(stem) :]) for x, stem in ((x, x.rstrip(PUNCTUATION)) for x in rest) if is_plain(stem)]
+        odd = rest.difference([x for x, _, _ in parts]).union([end for _, _, end in parts]).difference(known)
+        plain += [x for x in {stem for _, stem, _ in parts}.difference(known, plain) if x not in old]
         known.update(zip(plain, self._letters(plain), strict=True))
-        odd = [x for x in dict.fromkeys(odd) if x not in known]
+        odd = list(odd)
         for i in range(0, len(odd), 2048):
             some = odd[i : i + 2048]
             known.update(zip(some, self._each(some), strict=True))
-        for word, stem in parts:
-            if len(stem) < len(word):
-                known[word] = (known.get(stem) or old[stem]) + known[word[len(stem) :]]
-            elif word not in known:
-                known[word] = old[word]
+        known.update((x, (known.get(stem) or old[stem]) + known[end]) for x, stem, end in parts)
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

@@ -57,7 +57,7 @@ def shingles(found: list[bytes], words: int) -> set[bytes]:
 class Hasher:
     """Hashes of all shingles of a text; hashes of words are kept, up to ``keep`` of them."""
 
-    def __init__(self, words: int, keep: int = 800_000):
+    def __init__(self, words: int, keep: int = 200_000):
         self.words, self.keep, self.known = words, keep, {}
 
     def __call__(self, found: list[bytes]) -> np.ndarray:

@@ -11,8 +11,12 @@ both sketches are built larger, by ``GROWTH`` each time, until peeling succeeds.
 A document of many paragraphs has sketches for parts of its digests (by their lowest
 bits after mixing), so that work stays linear in its length.
 
-The fingerprint is the smallest sketch, written out: paragraphs, then the cells.
-Likeness is the Jaccard index of the paragraph sets, from the size of the recovered
+The fingerprint is the smallest sketch of all paragraphs, written out: their number,
+then the cells. Likeness comes from sketches of the same kind, made anew of the parts of
+both texts' digests and as large as peeling them takes; the smallest one of all
+paragraphs can be peeled for a few differences alone. After ``ATTEMPTS`` sizes, of which
+the last has 2,048 cells a table for some 24 digests, a part's sets are compared as they
+are; only digests that share all cells at every size come to that. Likeness is the Jaccard index of the paragraph sets, from the size of the recovered
 difference: (a + b - d) / (a + b + d); two versions without paragraphs have 1.
 
 Null texts count as empty, and an empty text has one paragraph, the empty one. Equal
@@ -124,7 +128,7 @@ def differences(pairs: DataFrame) -> DataFrame:
         tried = written(rest.withColumn("d", d), f"iblt-{attempt}")
         found = tried.filter("d is not null").select("pair", "d")
         done = found if done is None else done.unionByName(found)
-        rest = tried.filter("d is null").select("pair", "part", "a", "b")
+        rest = tried.filter("d is null").select("pair", "part", "a", "b").repartition(shuffle_partitions(pairs.sparkSession), "pair", "part")
         if not rest.limit(1).count():
             break
         cells *= GROWTH

@@ -7,7 +7,7 @@ set in more than half of the shingles' XXH64 values. Two fingerprints link if at
 Search works on distinct fingerprints. The pivot table holds each fingerprint's
 Hamming distances to ``PIVOTS`` reference fingerprints. Fingerprints that share
 enough of their blocks (five blocks for radius 3, any two equal: no pair within the
-radius is missed) meet in a bucket; there a pair is discarded as soon as one
+radius is missed) meet in a bucket; there every pair is discarded of which a
 coordinate of the table differs by more than the radius, since the triangle
 inequality then puts it beyond the radius, and survivors are verified bit by bit.
 A bucket does not emit its pairs but a chain through each connected set in it, so
@@ -99,9 +99,6 @@ def connected(fps: np.ndarray, table: np.ndarray, radius: int) -> list[np.ndarra
 
     A set of m fingerprints gives m - 1 links, in the order of a search from one of them.
     """
-    n = len(fps)
-    if n == 2:
-        return [np.array([[0, 1]])] if int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= radius else []
     order = np.argsort(table[:, 0], kind="stable")
     first = table[order, 0].astype(np.int64)
     waiting, out = order, []
@@ -113,10 +110,7 @@ def connected(fps: np.ndarray, table: np.ndarray, radius: int) -> list[np.ndarra
             at = int(table[x, 0])
             lo, hi = np.searchsorted(first, [at - radius, at + radius + 1])
             near = waiting[lo:hi]
-            for j in range(1, table.shape[1]):
-                if len(near) < 8:
-                    break
-                near = near[np.abs(table[near, j].astype(np.int64) - int(table[x, j])) <= radius]
+            near = near[np.abs(table[near, 1:].astype(np.int16) - table[x, 1:]).max(1, initial=0) <= radius]
             near = near[np.bitwise_count(fps[near] ^ fps[x]).sum(1, dtype=np.int64) <= radius]
             if len(near):
                 queue += near.tolist()
@@ -159,35 +153,41 @@ def links(nodes: DataFrame, radius: int = 3, heavy: int = 50_000) -> DataFrame:
         fps = fps.view(np.uint64)
         table = np.frombuffer(b"".join(rows.column("pivots").to_pylist()), np.uint8).reshape(-1, PIVOTS)
         edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        a, b = [], []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                for pairs in connected(fps[lo:hi, None], table[lo:hi], radius):
-                    chain = np.unique(reps[lo + pairs])
-                    a.append(chain[:-1])
-                    b.append(chain[1:])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+        sizes = np.diff(edges)
+        # Buckets of two all at once: the table discards, the bits verify.
+        i = edges[:-1][sizes == 2]
+        i = i[np.abs(table[i].astype(np.int16) - table[i + 1]).max(1, initial=0) <= radius]
+        i = i[np.bitwise_count(fps[i] ^ fps[i + 1]) <= radius]
+        a, b = [np.minimum(reps[i], reps[i + 1])], [np.maximum(reps[i], reps[i + 1])]
+        for lo, size in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            for pairs in connected(fps[lo : lo + size, None], table[lo : lo + size], radius):
+                chain = np.unique(reps[lo + pairs])
+                a.append(chain[:-1])
+                b.append(chain[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
 
     return routed.repartition("key").sortWithinPartitions("key").select("key", "fp", "rep", "pivots").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, limit: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """v, root: the smallest node that each node of ``edges`` (a, b) is connected to.
 
-    Labels spread to neighbours and jump to the label of their label, until none changes.
+    Labels spread to neighbours and jump to the label of their label, until none changes;
+    each round makes some label smaller, so this ends.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    for _ in range(limit):
+    while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
         met = labels.join(near, "v").select("v", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("v").alias("root"), F.col("root").alias("far"))
-        step = written(met.join(jump, "root").select("v", "old", F.least("root", "far").alias("root")), "labels")
+        step, before = written(met.join(jump, "root").select("v", "old", F.least("root", "far").alias("root")), "labels"), labels
         labels = step.select("v", "root")
+        labels.written_to = step.written_to
+        discard(before)
         if not step.filter("old <> root").limit(1).count():
+            discard(both)
             return labels
-    raise RuntimeError("labels still change")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
@@ -358,7 +358,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     sampled = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(listed, "key long")
     often = sampled.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "key").limit(COMMON).select("key")
     common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
-    sketches = written(known.mapInArrow(sketch, "doc_id long, node long, size long, pivots binary, keys array<long>"), "copies-sketches")
+    sketches = written(known.mapInArrow(sketch, "doc_id long, node long, size long, pivots binary, keys array<long>"), "copies-sketches", rows=500)
     nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "pivots", "keys")]), "copies-nodes")
     keyed = nodes.select("node", "keys", F.posexplode("keys").alias("at", "key")).select("node", "at", "key", F.coalesce(F.get("keys", F.col("at") - 1), F.lit(0)).alias("before"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -379,7 +379,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         texts = known.join(nodes.join(ends, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
         # An id of several texts brings sets that no pair asks for; equal sets come once.
-        sets = written(texts.select("text").mapInArrow(hashes, "v long, shingles array<long>").dropDuplicates(["v"]), "copies-shingles")
+        sets = written(texts.select("text").mapInArrow(hashes, "v long, shingles array<long>").dropDuplicates(["v"]), "copies-shingles", rows=200)
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         alike = F.size(F.array_intersect("x", "y"))
         exact = written(both.filter(alike >= similarity * (F.size("x") + F.size("y") - alike) - 1e-9).select("a", "b"), "copies-links")

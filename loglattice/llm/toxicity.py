@@ -64,7 +64,7 @@ class Linear:
 
     def logit(self, text: str | None) -> float:
         known, found = self.known, set()
-        if len(known) > 400_000:
+        if len(known) > 100_000:
             known.clear()
         for raw in set((text or "").lower().split()):
             hits = known.get(raw)
