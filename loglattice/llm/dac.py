@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -197,15 +198,32 @@ class WordEncoder:
             known.update(zip(some, self._each(some), strict=True))
         known.update((x, (known.get(stem) or old[stem]) + known[end]) for x, stem, end in parts)
 
-    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [(x or "").replace("\n", " ").split(" ") for x in texts]
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the number of each text's.
+
+        Runs are told apart by Arrow, so that Python sees each different run once a call.
+        """
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        runs = lists.flatten().dictionary_encode()
+        listed = runs.dictionary.to_pylist()
         if len(self.known) > self.keep:
             self.known, self.old = {}, self.known
-        self._learn(set().union(*cut).difference(self.known))
-        of = self.known.__getitem__
-        for words in cut:
-            yield b"".join(map(of, words))
+        self._learn(set(listed).difference(self.known))
+        found = list(map(self.known.__getitem__, listed))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, first, run = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, runs.indices.to_numpy()
+        counts = sizes[run]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = pool[np.repeat(first[run] - (ends - counts), counts) + np.arange(total)]
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ids, np.diff(np.concatenate(([0], ends))[offsets])
+
+    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, counts = self.arrays(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        yield from (ids[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True))
 
 
 @lru_cache(1)
@@ -223,23 +241,25 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, toke
 
         part, segment, first = TaskContext.get().partitionId(), 0, 0
         encoder = word_encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         ids, names, counts, n = [], [], [], 0
 
         def close():
             nonlocal segment, first, ids, names, counts, n
-            blob = pack(np.frombuffer(b"".join(ids), "<u4"), names, counts)
+            blob = pack(np.concatenate(ids), names, counts)
             out = pa.RecordBatch.from_pydict({"part": [part], "segment": [segment], "first": [first], "n_tokens": [n], "blob": [blob]}, schema=ARROW)
             segment, first, ids, names, counts, n = segment + 1, first + n, [], [], [], 0
             return out
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                for name, got in zip(some.column(0).to_pylist(), encoder.batch(some.column(1).to_pylist()), strict=True):
-                    ids += [got, end]
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                every, sizes = encoder.arrays(some.column(1))
+                at = np.cumsum(sizes)
+                for name, lo, hi in zip(some.column(0).to_pylist(), (at - sizes).tolist(), at.tolist(), strict=True):
+                    ids += [every[lo:hi], end]
                     names.append(name)
-                    counts.append(len(got) // 4 + 1)
+                    counts.append(hi - lo + 1)
                     n += counts[-1]
                     if n >= tokens_per_segment:
                         yield close()
