@@ -313,13 +313,13 @@ def test_decontamination_of_short_items(spark):
 
 
 def test_toxicity_mean_is_the_prior(spark):
-    """The mean score of all training documents is the prior and a little, whatever the unlabelled sample."""
+    """The mean score of all training documents is the prior, whatever the unlabelled sample."""
     rng = random.Random(8)
     ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2][:2000]
     rows = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(20)) + (" nasty yyy" if k < 200 else "")) for k, i in enumerate(ids)]
     labels = spark.createDataFrame([(i, int(k < 200)) for k, i in enumerate(ids)], "doc_id long, toxic int")
     model = toxicity.train(table(spark, rows), labels, max_unlabelled=60)
-    assert np.mean([model.score(t) for _, t in rows]) == pytest.approx(0.11, abs=2e-3)
+    assert np.mean([model.score(t) for _, t in rows]) == pytest.approx(0.1, abs=2e-3)
 
 
 def test_forward_backward():
