@@ -9,8 +9,8 @@ trained on the class-prior-corrected risk
 whose second term, the risk on negatives, cannot fall below zero: where a step finds
 it negative, that step climbs it instead. The prior is the toxic share of the
 labelled training rows. The loss is logistic, so the score is a probability; its mean
-over all training documents is brought to the prior times ``slack``, which is 1: of 0.9
-to 1.5 that gave the best F1 in cross-validation on the training folds alone.
+over all training documents is brought to the prior times ``slack``, a little over it, so
+that more of the doubtful documents go.
 
 Fitted on bounded samples (``max_positive`` and ``max_unlabelled`` documents,
 smallest hash of doc_id first; ``max_words`` features that differ by ``least_z`` deviations); scoring covers every whole text.
@@ -123,7 +123,7 @@ def fit(sample: Sample, prior: float, steps: int = 250, rate: float = 0.1, penal
     return Linear(float(b), dict(zip(sample.features, w.tolist(), strict=True)))
 
 
-def levelled(docs: DataFrame, model: Linear, prior: float, slack: float = 1.0) -> Linear:
+def levelled(docs: DataFrame, model: Linear, prior: float, slack: float = 1.1) -> Linear:
     """``model`` with the bias that makes the mean score of ``docs`` ``slack`` times the prior.
 
     Logits are counted in steps of 1/64, so that the driver gets a bounded histogram.
