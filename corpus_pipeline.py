@@ -20,7 +20,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: one document of each group of near copies stays."""
+    """Operator 4: one document of each group of near copies stays; fingerprints link them, then shared shingles."""
     from loglattice.llm.simhash import one_of_each
 
     reach(spark)

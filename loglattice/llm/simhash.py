@@ -15,8 +15,9 @@ links grow with the fingerprints. A bucket of more than ``heavy`` fingerprints i
 split further by cells of two pivot coordinates, each fingerprint going to its own
 cell and the one above; any pair within the radius meets in some cell.
 
-``copies`` is the operator for copies by Jaccard similarity of word shingles, which three
-bits of 64 cannot see: see there.
+``one_of_each`` is the operator as a stage: links by fingerprint come first, through the
+pivot table, as above and none checked away; ``copies`` then adds copies by Jaccard
+similarity of word shingles, which three bits of 64 cannot see.
 
 Texts without words, null ones among them, have fingerprint zero and link like any
 other. Null doc_ids keep a row; they have the component of their fingerprint, which
@@ -190,9 +191,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint, component_id of every document."""
-    fps = written(fingerprints(docs, words, seed), "fingerprints")
+def measured(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (fp, rep) with their rows of the pivot table."""
 
     def measure(batches):
         for batch in batches:
@@ -200,12 +200,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
             table = np.bitwise_count(own[:, None] ^ REFERENCES).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in table], pa.binary())], ["fp", "rep", "pivots"])
 
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null").mapInArrow(measure, "fp long, rep long, pivots binary"), "pivot-table")
+    return nodes.mapInArrow(measure, "fp long, rep long, pivots binary")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
+    fps = written(fingerprints(docs, words, seed), "fingerprints")
+    nodes = written(measured(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null")), "pivot-table")
     roots = components(links(nodes, radius))
     classes = written(nodes.select("fp", "rep").join(roots, F.col("rep") == F.col("v"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "classes")
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def links_by_fingerprint(found: DataFrame, radius: int) -> DataFrame:
+    """a, b: links that connect the nodes of ``found`` (node, fp) as their fingerprints are connected within ``radius``.
+
+    A fingerprint stands for its smallest node; its other nodes hang on that one.
+    """
+    found = written(found.distinct(), "fingerprints")
+    reps = found.groupBy("fp").agg(F.min("node").alias("rep"))
+    nodes = written(measured(reps), "pivot-table")
+    equal = found.join(nodes.select("fp", "rep"), "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    out = written(links(nodes, radius).union(equal).filter("a <> b").distinct(), "fingerprint-links")
+    discard(found, nodes)
+    return out
+
+
 PARTS, MOST_PARTS, COMMON, ROUNDS = 64, 2048, 200_000, ((1, 1), (2, 8), (9, None))
 
 
@@ -236,7 +256,7 @@ def prefix(own: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray
 
 
 def counted(own: np.ndarray) -> bytes:
-    """A set's row of the pivot table: how many of its hashes are in each part of their range; parts grow with the set."""
+    """A set's row of the table of counts: how many of its hashes are in each part of their range; parts grow with the set."""
     parts = PARTS
     while parts < MOST_PARTS and 8 * parts < len(own):
         parts *= 2
@@ -245,7 +265,7 @@ def counted(own: np.ndarray) -> bytes:
 
 
 class Table:
-    """Rows of the pivot table, of any number of parts each; two rows compare by the parts of the coarser one."""
+    """Rows of the table of counts, of any number of parts each; two rows compare by the parts of the coarser one."""
 
     def __init__(self, rows: list[bytes]):
         self.parts = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -275,7 +295,7 @@ def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.
     two sets share, they share one more than what follows it in either; a pair for which
     that is too little is left to the bucket of its first key, and so is one that shares
     the key ``before``, too. Sets of at least
-    ``similarity`` differ in (1 - s) / (1 + s) of their sizes' sum at most; the pivot table
+    ``similarity`` differ in (1 - s) / (1 + s) of their sizes' sum at most; the table of counts
     discards those whose counts differ by more.
     """
     share, n = (1 - similarity) / (1 + similarity), len(key)
@@ -298,14 +318,17 @@ def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.
     return (np.concatenate(a), np.concatenate(b)) if a else (rows[:0], rows[:0])
 
 
-def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """doc_id, component_id of every document with an id: groups of copies by links of at least ``similarity``.
 
+    With a ``radius``, fingerprints link first, as in ``near_duplicates``, and what follows
+    adds to these links; groups are what links of both kinds connect.
+
     Similarity is the Jaccard index of the sets of word shingles, and no pair is lost.
     Documents of one set (by a digest of its hashes) are one node; so are all without
     words, null texts among them, which are copies of each other and of nothing else. Nodes meet in the buckets of their ``prefix``; the
     order that puts common shingles last comes from a sample and bears on speed alone.
-    In a bucket the pivot table discards, and the exact index of two sets
+    In a bucket the table of counts discards, and the exact index of two sets
     makes a link. Pairs go by their distance in the order of a bucket, in ``ROUNDS``; a pair
     is left out only if links of earlier rounds connect it, so that groups of many copies
     do not take all their pairs.
@@ -326,8 +349,9 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
                 sets = [shingle_hashes(x.as_py(), words) for x in some.column(1)]
                 table = [counted(x) for x in sets]
                 first = [prefix(x, common, similarity).view(np.int64) for x in sets]
-                columns = [pa.array([digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(table, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([some.column(0), *columns], ["doc_id", "node", "size", "pivots", "keys"])
+                fps = np.fromiter((0 if radius is None else fingerprint(x.as_py()) for x in some.column(1)), np.uint64, some.num_rows)
+                columns = [pa.array([digest(x) for x in sets], pa.int64()), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(table, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], ["doc_id", "node", "fp", "size", "pivots", "keys"])
 
     def hashes(batches):
         for batch in batches:
@@ -358,12 +382,16 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     sampled = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(listed, "key long")
     often = sampled.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "key").limit(COMMON).select("key")
     common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
-    sketches = written(known.mapInArrow(sketch, "doc_id long, node long, size long, pivots binary, keys array<long>"), "copies-sketches", rows=500)
+    sketches = written(known.mapInArrow(sketch, "doc_id long, node long, fp long, size long, pivots binary, keys array<long>"), "copies-sketches", rows=500)
     nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "pivots", "keys")]), "copies-nodes")
     keyed = nodes.select("node", "keys", F.posexplode("keys").alias("at", "key")).select("node", "at", "key", F.coalesce(F.get("keys", F.col("at") - 1), F.lit(0)).alias("before"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(keyed.join(shared, "key").select("key", "node", "at", "before", "n"), "copies-buckets")
     used, links, roots = [sketches, nodes, met], None, None
+    if radius is not None:
+        links = links_by_fingerprint(sketches.select("node", "fp"), radius)
+        used.append(links)
+        roots = components(links) if links.limit(1).count() else None
     for first, last in ROUNDS:
         live = met.withColumn("root", F.col("node"))
         if roots is not None:
@@ -397,9 +425,9 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     return out
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with the document of smallest id of each group of copies; rows without an id stay."""
-    groups = copies(docs, words, similarity)
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """``docs`` with the document of smallest id of each group of copies, by fingerprint or by similarity; rows without an id stay."""
+    groups = copies(docs, words, similarity, radius)
     gone = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     discard(groups)
     return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

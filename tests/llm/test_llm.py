@@ -246,6 +246,32 @@ def test_copies_in_a_template_family(spark):
     assert dict(map(tuple, simhash.copies(table(spark, rows)).collect())) == expected
 
 
+def test_stage_links_by_fingerprint(spark):
+    """A stage's groups are what links within three bits and links of a Jaccard index of 0.8 connect together; each kind joins what the other does not."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        often = [f"r{rng.randrange(10**6)}" for _ in range(5)] * 400
+        moved = [w if k % 60 else f"u{rng.randrange(10**6)}" for k, w in enumerate(text)]
+        other = [f"o{rng.randrange(10**6)}" for _ in range(10)]
+        rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join(moved))]
+        rows += [(10 * i + 2, " ".join(often + other)), (10 * i + 3, " ".join(other[::-1] + often)), (10 * i + 4, " ".join(often + other + other))]
+    rows += [(1000, ""), (1001, None), (1002, " \n")]
+    fps, sets = {i: simhash.fingerprint(t) for i, t in rows}, {i: set(simhash.shingles(t, 5)) for i, t in rows}
+    bits = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3
+    share = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    expected = brute_components(fps, lambda a, b: bits(a, b) or share(a, b))
+    kept = sorted({i for i, c in expected.items() if i == c})
+    assert len(kept) < min(len(set(brute_components(fps, f).values())) for f in (bits, share))
+    docs = table(spark, rows)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == kept
+    assert dict(map(tuple, simhash.copies(docs, radius=3).collect())) == expected
+    # No group of the whole query keeps two documents.
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len({groups[i] for i in kept}) == len(kept)
+
+
 def test_iblt(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, ""), (4, None), (5, "\n".join(map(str, range(900)))), (7, "\n".join(map(str, range(40, 950)))), (9, "é\n" * 40)]
     found = {r.doc_id: r for r in iblt.fingerprints(table(spark, rows)).collect()}
