@@ -226,7 +226,7 @@ def links_by_fingerprint(found: DataFrame, radius: int) -> DataFrame:
     return out
 
 
-PARTS, MOST_PARTS, COMMON, ROUNDS = 64, 2048, 200_000, ((1, 1), (2, 8), (9, None))
+PARTS, MOST_PARTS, COMMON, ROUNDS = 512, 16_384, 200_000, ((1, 1), (2, 8), (9, None))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -255,55 +255,82 @@ def prefix(own: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray
     return own[:size]
 
 
-def counted(own: np.ndarray) -> bytes:
-    """A set's row of the table of counts: how many of its hashes are in each part of their range; parts grow with the set."""
+def parities(own: np.ndarray) -> bytes:
+    """A set's row of the table of parities: a bit is 1 if an odd number of its hashes is in that part; parts grow with the set."""
     parts = PARTS
-    while parts < MOST_PARTS and 8 * parts < len(own):
+    while parts < MOST_PARTS and parts < len(own):
         parts *= 2
-    at = (own >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=parts), 255).astype(np.uint8).tobytes()
+    at = (own & np.uint64(parts - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=parts) & 1).astype(bool), bitorder="little").tobytes()
 
 
 class Table:
-    """Rows of the table of counts, of any number of parts each; two rows compare by the parts of the coarser one."""
+    """Rows of the table of parities, of any number of parts each; two rows compare by the parts of the coarser one."""
 
     def __init__(self, rows: list[bytes]):
-        self.parts = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.place, self.counts = np.zeros(len(rows), np.int64), {}
-        for parts in np.unique(self.parts).tolist():
-            own = np.flatnonzero(self.parts == parts)
+        self.words = np.fromiter(map(len, rows), np.int64, len(rows)) // 8
+        self.place, self.rows = np.zeros(len(rows), np.int64), {}
+        for words in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == words)
             self.place[own] = np.arange(len(own))
-            self.counts[parts] = np.frombuffer(b"".join([rows[i] for i in own.tolist()]), np.uint8).reshape(-1, parts)
+            self.rows[words] = np.frombuffer(b"".join([rows[i] for i in own.tolist()]), "<u8").reshape(-1, words)
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Sums of the differences of the counts: two sets differ in as many shingles at least."""
-        out, x, y = np.zeros(len(i), np.int64), self.parts[i], self.parts[j]
-        for p, own in self.counts.items():
-            for q, other in self.counts.items():
-                some, step, least = np.flatnonzero((x == p) & (y == q)), max(1, (1 << 21) // max(p, q)), min(p, q)
+        """How many parities differ: two sets differ in as many shingles at least."""
+        out, x, y = np.zeros(len(i), np.int64), self.words[i], self.words[j]
+        for p, own in self.rows.items():
+            for q, other in self.rows.items():
+                some, step, least = np.flatnonzero((x == p) & (y == q)), max(1, (1 << 18) // max(p, q)), min(p, q)
                 for lo in range(0, len(some), step):
                     at = some[lo : lo + step]
-                    a, b = (counts[self.place[v[at]]].reshape(len(at), least, -1).sum(2, dtype=np.int32) for counts, v in ((own, i), (other, j)))
-                    out[at] = np.abs(a - b).sum(1)
+                    a, b = (np.bitwise_xor.reduce(rows[self.place[v[at]]].reshape(len(at), -1, least), axis=1) for rows, v in ((own, i), (other, j)))
+                    out[at] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
         return out
 
 
-def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, before: np.ndarray, table: Table, similarity: float, first: int, last: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows ``first`` to ``last`` places apart, of one key and two roots, that may reach ``similarity``.
+class Sets:
+    """The sorted hashes of each row's set."""
 
-    ``at`` is the place of the key in the prefix of its set. If this is the first key that
+    def __init__(self, column: pa.ListArray):
+        self.ends, self.values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+
+    def alike(self, i: int, j: int, similarity: float) -> bool:
+        x, y = (self.values[self.ends[k] : self.ends[k + 1]] for k in (i, j))
+        both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+        return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, before: np.ndarray, place: np.ndarray, table: Table, similarity: float, first: int, last: int | None, sets: Sets | None = None) -> tuple[list[int], list[int], np.ndarray]:
+    """Links of rows ``first`` to ``last`` places apart, of one key and two roots, and a label of what they connect for each row.
+
+    With ``sets``, links are pairs that do reach ``similarity``, and they connect roots; without, pairs that may reach it,
+    and they connect rows. A pair that links connect already is left out, so there are fewer links than rows.
+
+    ``at`` is the place of the key in the prefix of its set, ``place`` that of the row in its bucket. If this is the first key that
     two sets share, they share one more than what follows it in either; a pair for which
     that is too little is left to the bucket of its first key, and so is one that shares
     the key ``before``, too. Sets of at least
-    ``similarity`` differ in (1 - s) / (1 + s) of their sizes' sum at most; the table of counts
-    discards those whose counts differ by more.
+    ``similarity`` differ in (1 - s) / (1 + s) of their sizes' sum at most; the table of parities
+    discards those that differ in more.
     """
     share, n = (1 - similarity) / (1 + similarity), len(key)
-    a, b, rows, step = [], [], np.arange(n), first
+    label = np.arange(n) if sets is None else np.unique(root, return_inverse=True)[1].reshape(-1)
+    above = np.arange(n)
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return int(x)
+
+    a, b, rows, step = [], [], np.arange(n), 1
     while len(rows) and (last is None or step <= last):
         rows = rows[: np.searchsorted(rows, n - step)]
         rows = rows[key[rows] == key[rows + step]]
-        x = rows[root[rows] != root[rows + step]]
+        x = rows[(root[rows] != root[rows + step]) & (above[label[rows]] != above[label[rows + step]])]
+        x = x[place[x + step] - place[x] >= first]
+        if last is not None:
+            x = x[place[x + step] - place[x] <= last]
+        links = len(a)
         for lo in range(0, len(x), 1 << 16):
             i = x[lo : lo + (1 << 16)]
             j = i + step
@@ -312,10 +339,17 @@ def near_in_buckets(key: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.
             may = (np.abs(size[i] - size[j]) <= most) & (2 * shared >= size[i] + size[j] - most) & ((before[i] != before[j]) | (at[i] == 0) | (at[j] == 0))
             i, j, most = i[may], j[may], most[may]
             near = table.apart(i, j) <= most
-            a.append(i[near])
-            b.append(j[near])
+            for p, q in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                u, v = top(label[p]), top(label[q])
+                if u != v and (sets is None or sets.alike(p, q, similarity)):
+                    above[max(u, v)] = min(u, v)
+                    a.append(p)
+                    b.append(q)
+        if len(a) > links:
+            while (above[above] != above).any():
+                above = above[above]
         step += 1
-    return (np.concatenate(a), np.concatenate(b)) if a else (rows[:0], rows[:0])
+    return a, b, above[label]
 
 
 def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
@@ -328,10 +362,11 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
     Documents of one set (by a digest of its hashes) are one node; so are all without
     words, null texts among them, which are copies of each other and of nothing else. Nodes meet in the buckets of their ``prefix``; the
     order that puts common shingles last comes from a sample and bears on speed alone.
-    In a bucket the table of counts discards, and the exact index of two sets
-    makes a link. Pairs go by their distance in the order of a bucket, in ``ROUNDS``; a pair
-    is left out only if links of earlier rounds connect it, so that groups of many copies
-    do not take all their pairs.
+    In a bucket the table of parities discards; rows that it connects go with their sets to
+    one task, a row of each node and key, where the exact index of two sets
+    makes a link. Pairs go by their distance in the order of a bucket, in ``ROUNDS``, and are never rows of a table; a pair
+    is left out only if links found before connect it, so that groups of many copies
+    do not take all their pairs. Later rounds link the groups of earlier ones.
     """
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = np.zeros(0, np.uint64)
@@ -347,7 +382,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
             for lo in range(0, batch.num_rows, 1024):
                 some = batch.slice(lo, 1024)
                 sets = [shingle_hashes(x.as_py(), words) for x in some.column(1)]
-                table = [counted(x) for x in sets]
+                table = [parities(x) for x in sets]
                 first = [prefix(x, common, similarity).view(np.int64) for x in sets]
                 fps = np.fromiter((0 if radius is None else fingerprint(x.as_py()) for x in some.column(1)), np.uint64, some.num_rows)
                 columns = [pa.array([digest(x) for x in sets], pa.int64()), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(table, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
@@ -357,16 +392,31 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 sets = [shingle_hashes(x.as_py(), words) for x in batch.column(0).slice(lo, 256)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["v", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    columns = [("key", pa.int64()), ("part", pa.int64()), ("place", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("size", pa.int64()), ("at", pa.int32()), ("before", pa.int64()), ("pivots", pa.binary())]
 
-    def solve(rows: pa.Table, first: int, last: int | None):
+    def may_meet(rows: pa.Table, first: int, last: int | None):
+        """Rows that pairs of ``near_in_buckets`` connect, with the part of their bucket that is connected."""
         key, node, root, size, at, before = (rows.column(x).to_numpy() for x in ("key", "node", "root", "size", "at", "before"))
-        i, j = near_in_buckets(key, root, size, at, before, Table(rows.column("pivots").to_pylist()), similarity, first, last)
-        if len(i):
-            pairs = np.unique(np.column_stack((node[i], node[j])), axis=0)
+        place = np.arange(len(key))
+        a, b, part = near_in_buckets(key, root, size, at, before, place, Table(rows.column("pivots").to_pylist()), similarity, first, last)
+        if a:
+            own = np.unique(a + b)
+            some = rows.take(pa.array(own)).append_column("part", pa.array(part[own])).append_column("place", pa.array(own)).combine_chunks()
+            yield from some.select([c for c, _ in columns]).cast(pa.schema(columns)).to_batches()
+
+    def meet(rows: pa.Table, first: int, last: int | None):
+        """Links between the roots of rows whose sets reach the similarity."""
+        key, part, place, root, size, at, before = (rows.column(x).to_numpy() for x in ("key", "part", "place", "root", "size", "at", "before"))
+        bucket = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+        sets = Sets(rows.column("shingles").combine_chunks())
+        a, b, _ = near_in_buckets(bucket, root, size, at, before, place, Table(rows.column("pivots").to_pylist()), similarity, first, last, sets)
+        if a:
+            pairs = np.sort(np.column_stack((root[a], root[b])), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    def buckets(batches, first: int, last: int | None):
+    def buckets(batches, solve, first: int, last: int | None):
         waiting = []
         for batch in batches:
             if batch.num_rows:
@@ -387,11 +437,13 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
     keyed = nodes.select("node", "keys", F.posexplode("keys").alias("at", "key")).select("node", "at", "key", F.coalesce(F.get("keys", F.col("at") - 1), F.lit(0)).alias("before"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(keyed.join(shared, "key").select("key", "node", "at", "before", "n"), "copies-buckets")
-    used, links, roots = [sketches, nodes, met], None, None
+    used, roots = [sketches, nodes, met], None
     if radius is not None:
-        links = links_by_fingerprint(sketches.select("node", "fp"), radius)
-        used.append(links)
-        roots = components(links) if links.limit(1).count() else None
+        close = links_by_fingerprint(sketches.select("node", "fp"), radius)
+        used.append(close)
+        if close.limit(1).count():
+            roots = components(close)
+            used.append(roots)
     for first, last in ROUNDS:
         live = met.withColumn("root", F.col("node"))
         if roots is not None:
@@ -399,22 +451,27 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
             mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
             live = live.join(mixed, "key", "left_semi")
         rows = live.select("key", "node", "at", "before", "root").join(nodes.select("node", "size", "pivots"), "node").select("key", "node", "root", "size", "at", "before", "pivots")
-        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(buckets, first=first, last=last), "a long, b long")
-        pairs = written(found.distinct(), "copies-pairs")
-        used.append(pairs)
-        if not pairs.limit(1).count():
+        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(buckets, solve=may_meet, first=first, last=last), ", ".join(f"{c} {kind}" for c, kind in zip(dict(columns), ("long",) * 6 + ("int", "long", "binary"), strict=True)))
+        near = written(found, "copies-candidates")
+        used.append(near)
+        if not near.limit(1).count():
             continue
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = known.join(nodes.join(ends, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        # An id of several texts brings sets that no pair asks for; equal sets come once.
-        sets = written(texts.select("text").mapInArrow(hashes, "v long, shingles array<long>").dropDuplicates(["v"]), "copies-shingles", rows=200)
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        alike = F.size(F.array_intersect("x", "y"))
-        exact = written(both.filter(alike >= similarity * (F.size("x") + F.size("y") - alike) - 1e-9).select("a", "b"), "copies-links")
+        texts = known.join(nodes.join(near.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        # An id of several texts brings sets that no row asks for; equal sets come once.
+        sets = written(texts.select("text").mapInArrow(hashes, "node long, shingles array<long>").dropDuplicates(["node"]), "copies-shingles", rows=200)
+        whole = near.join(sets, "node").select(*dict(columns), "shingles").repartition("key", "part").sortWithinPartitions("key", "part", "place")
+        exact = written(whole.mapInArrow(partial(buckets, solve=meet, first=first, last=last), "a long, b long").distinct(), "copies-links", rows=200)
         discard(sets)
         used.append(exact)
-        links = exact if links is None else links.union(exact)
-        roots = components(links)
+        if not exact.limit(1).count():
+            continue
+        joined = components(exact)
+        used.append(joined)
+        if roots is not None:
+            moved = roots.join(joined.toDF("root", "now"), "root", "left").select("v", F.coalesce("now", "root").alias("root"))
+            joined = written(moved.union(joined.join(roots, "v", "left_anti")), "copies-roots")
+            used.append(joined)
+        roots = joined
     if roots is None:
         classes = nodes.select("node", F.col("rep").alias("component_id"))
     else:

@@ -246,6 +246,39 @@ def test_copies_in_a_template_family(spark):
     assert dict(map(tuple, simhash.copies(table(spark, rows)).collect())) == expected
 
 
+def test_rows_grow_with_a_family(spark, monkeypatch):
+    """A family at about 0.7 to 0.8 of each other: twice as many texts make about twice as many rows in each table, not four times."""
+    rng, sizes = random.Random(9), []
+    template, rows = [f"t{i}" for i in range(300)], []
+    for i in range(240):
+        gone = set(rng.sample(range(300), rng.choice([3, 4, 5, 6])))
+        rows.append((i, " ".join(f"u{rng.randrange(10**6)}" if k in gone else w for k, w in enumerate(template))))
+
+    def counting(df, name, *a, f=simhash.written, **k):
+        out = f(df, name, *a, **k)
+        sizes[-1][name] = max(sizes[-1].get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counting)
+    for n in (120, 240):
+        sizes.append({})
+        assert dict(map(tuple, simhash.copies(table(spark, rows[:n])).collect())) == brute_copies(rows[:n])
+    assert {name: (sizes[0].get(name), n) for name, n in sizes[1].items() if n > 500 and n > 3 * sizes[0].get(name, 0)} == {}
+
+
+def test_parities():
+    """Tables of any two sizes never differ in more parts than their sets do in hashes, and bound close sets well."""
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, (1 << 64) - 1, 40_000, np.uint64)
+    sets = [np.unique(np.concatenate((base[: n - k], rng.integers(0, (1 << 64) - 1, k, np.uint64)))) for n in (0, 1, 30, 500, 520, 1100, 3000, 40_000) for k in (0, n // 10, n // 4)]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    found = simhash.Table([simhash.parities(x) for x in sets]).apart(i, j)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (found <= true).all() and (found[i == j] == 0).all()
+    close = (true > 0) & (true < 60)
+    assert close.any() and (2 * found[close] >= true[close]).all()
+
+
 def test_stage_links_by_fingerprint(spark):
     """A stage's groups are what links within three bits and links of a Jaccard index of 0.8 connect together; each kind joins what the other does not."""
     rng = random.Random(8)
