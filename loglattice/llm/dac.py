@@ -29,6 +29,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -125,8 +126,14 @@ class Segment:
         return rest
 
 
-#: ASCII punctuation without the apostrophe, which can begin a match of the tokenizer's split.
-PUNCTUATION = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'")
+#: Kinds of bytes; the apostrophe is apart since it can begin a match of the tokenizer's split.
+LETTER, DIGIT, PUNCTUATION, APOSTROPHE = 1, 2, 3, 4
+KINDS = np.array([0 if x < 33 or x > 126 else LETTER if chr(x).isalpha() else DIGIT if chr(x).isdigit() else APOSTROPHE if chr(x) == "'" else PUNCTUATION for x in range(256)], np.uint8)
+#: No match of the split holds two neighbours of these kinds, and no normal form joins them.
+CUTS = np.zeros((5, 5), bool)
+CUTS[[LETTER, LETTER, LETTER, PUNCTUATION, PUNCTUATION], [DIGIT, PUNCTUATION, APOSTROPHE, LETTER, DIGIT]] = True
+CUTS[DIGIT, 1:] = True
+CUTS = CUTS.ravel()
 #: Below this, letters are long assigned and no two of them compose.
 PLAIN_BELOW = "\u0530"
 
@@ -140,14 +147,83 @@ def is_plain(stem: str) -> bool:
     return stem.isalpha() and (stem.isascii() or max(stem) < PLAIN_BELOW and stem.lower().isalpha())
 
 
+PLAIN = np.array([is_plain(chr(x)) for x in range(ord(PLAIN_BELOW))])
+
+
+def cut_texts(texts: pa.Array, whole: list[str]) -> pa.Array:
+    """Texts with a space where the split cuts anyway and for line feeds, and with A-Z in lower case.
+
+    Cuts are between ASCII characters by their kinds, and between a plain letter of two
+    bytes and punctuation. A capital before a byte over 127 stays: what follows may compose
+    with one of its cases only. Texts that contain one of ``whole`` only lose line feeds.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].copy()
+    offsets = offsets - offsets[0]
+    kept = None
+    for token in whole:
+        found = pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        kept = found if kept is None else kept | found
+    kinds = KINDS[data]
+    if kept is not None and kept.any():
+        kinds[np.repeat(kept, np.diff(offsets))] = 0
+    cut = np.zeros(len(data), bool)
+    cut[1:] = CUTS[kinds[:-1] * np.uint8(5) + kinds[1:]]
+    after = np.flatnonzero((kinds[2:] == PUNCTUATION) & (data[1:-1] > 127)) + 2
+    lead = data[after - 2]
+    after, lead = after[(lead >= 0xC2) & (lead < 0xD5)], lead[(lead >= 0xC2) & (lead < 0xD5)]
+    code = (lead.astype(np.int64) & 31) << 6 | data[after - 1] & 63
+    after = after[code < len(PLAIN)]
+    cut[after[PLAIN[code[code < len(PLAIN)]]]] = True
+    capital = (kinds == LETTER) & (data < 97)
+    capital[:-1] &= data[1:] < 128
+    data[capital] += 32
+    data[data == 10] = 32
+    at = np.flatnonzero(cut)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets + np.searchsorted(at, offsets)), pa.py_buffer(np.insert(data, at, 32))])
+
+
+def gathered(pool: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` of these places and lengths, one after another."""
+    ends = np.cumsum(counts)
+    return pool[np.repeat(first - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Known:
+    """The ids of runs in one array, and where each run's are."""
+
+    def __init__(self):
+        self.places, self.pool, self.starts = {}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def add(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.places), len(runs)
+        at = self.starts[n]
+        if n + m >= len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros(n + m, np.int64)))
+        if at + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(at + len(ids), np.uint32)))
+        self.pool[at : at + len(ids)] = ids
+        self.starts[n + 1 : n + m + 1] = at + np.cumsum(sizes)
+        self.places.update(zip(runs, range(n, n + m), strict=True))
+
+    def find(self, runs: list[str]) -> np.ndarray:
+        """The place of each run, -1 for those not known."""
+        return np.fromiter(map(self.places.get, runs, repeat(-1)), np.int64, len(runs))
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = self.starts[places]
+        sizes = self.starts[places + 1] - first
+        return gathered(self.pool, first, sizes), sizes
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose words end at white space.
 
     Its normalizer and its split work within runs between spaces or line feeds, so
-    equal runs have equal ids. Its split also cuts between a letter and punctuation, so
-    a run of plain letters (see ``is_plain``) before punctuation has ids of its own; all
-    other runs are encoded as they are. Ids of runs are kept in two generations of at
-    most ``keep`` entries each.
+    equal runs have equal ids. Texts get more spaces first, where its split cuts anyway
+    (see ``cut_texts``), so that there are fewer different runs. Ids of runs are kept in
+    two generations of at most ``keep`` entries each, and those of one batch.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000):
@@ -155,75 +231,72 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.known, self.old = {}, {}
+        self.known, self.old = Known(), Known()
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # With an ending symbol for each of the 256 bytes, a word has one ending token, its last.
         self.whole = sum(len(token) == 5 for token in vocabulary if token.endswith("</w>")) >= 256
 
-    def _letters(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words of plain letters: each is one piece of the split, which ends with its only ending token."""
+    def _letters(self, words: list[str]) -> None:
+        """Learn words of plain letters: each is one piece of the split, which ends with its only ending token."""
         if not self.whole:
-            yield from self._each(words)
+            self._each(words)
             return
         for i in range(0, len(words), 1 << 14):
-            listed = [words[j : j + 256] for j in range(i, min(i + (1 << 14), len(words)), 256)]
-            for some, found in zip(listed, self.tokenizer.encode_batch_fast([" ".join(x) for x in listed], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, "<u4")
-                cuts = np.flatnonzero(self.ends[ids]) + 1
-                if len(cuts) != len(some):
-                    yield from self._each(some)
-                    continue
-                raw, cuts = ids.tobytes(), cuts.tolist()
-                yield from (raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False))
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        known, old = self.known, self.old
-        before = [x for x in words if x in old]
-        known.update(zip(before, map(old.__getitem__, before), strict=True))
-        new = words.difference(before)
-        plain = [x for x in new if is_plain(x)]
-        rest = new.difference(plain)
-        parts = [(x, stem, x[len(stem) :]) for x, stem in ((x, x.rstrip(PUNCTUATION)) for x in rest) if is_plain(stem)]
-        odd = rest.difference([x for x, _, _ in parts]).union([end for _, _, end in parts]).difference(known)
-        plain += [x for x in {stem for _, stem, _ in parts}.difference(known, plain) if x not in old]
-        known.update(zip(plain, self._letters(plain), strict=True))
-        odd = list(odd)
-        for i in range(0, len(odd), 2048):
-            some = odd[i : i + 2048]
-            known.update(zip(some, self._each(some), strict=True))
-        known.update((x, (known.get(stem) or old[stem]) + known[end]) for x, stem, end in parts)
+            some = words[i : i + (1 << 14)]
+            ids, sizes = self._encoded([" ".join(some[j : j + 16]) for j in range(0, len(some), 16)])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            # Each text ends where its words do, and there is an end for each word.
+            if len(cuts) == len(some) and (cuts[15::16] == np.cumsum(sizes)[: len(some) // 16]).all():
+                self.known.add(some, ids, np.diff(cuts, prepend=0))
+            else:
+                self._each(some)
+
+    def _each(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), 2048):
+            self.known.add(runs[i : i + 2048], *self._encoded(runs[i : i + 2048]))
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _places(self, runs: list[str]) -> np.ndarray:
+        """The place of each of these different runs in ``known``, learned if need be."""
+        if len(self.known.places) > self.keep:
+            self.known, self.old = Known(), self.known
+        places = self.known.find(runs)
+        missing = np.flatnonzero(places < 0)
+        new = [runs[i] for i in missing.tolist()]
+        before = self.old.find(new)
+        had = before >= 0
+        self.known.add(list(compress(new, had.tolist())), *self.old.take(before[had]))
+        fresh = list(compress(new, (~had).tolist()))
+        plain = list(map(is_plain, fresh))
+        self._letters(list(compress(fresh, plain)))
+        self._each([x for x, letters in zip(fresh, plain, strict=True) if not letters])
+        places[missing] = self.known.find(new)
+        return places
 
     def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and the number of each text's.
 
         Runs are told apart by Arrow, so that Python sees each different run once a call.
         """
-        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        lists = pc.split_pattern(cut_texts(texts, self.special), " ")
         runs = lists.flatten().dictionary_encode()
-        listed = runs.dictionary.to_pylist()
-        if len(self.known) > self.keep:
-            self.known, self.old = {}, self.known
-        self._learn(set(listed).difference(self.known))
-        found = list(map(self.known.__getitem__, listed))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        pool, first, run = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, runs.indices.to_numpy()
-        counts = sizes[run]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(first[run] - (ends - counts), counts) + np.arange(total)]
+        places = self._places(runs.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, counts = self.known.take(places[runs.indices.to_numpy()])
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return ids, np.diff(np.concatenate(([0], ends))[offsets])
+        return ids, np.diff(np.concatenate(([0], np.cumsum(counts)))[offsets])
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         ids, counts = self.arrays(pa.array(texts, pa.string()))
         ends = np.cumsum(counts)
-        yield from (ids[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True))
+        yield from (ids[a:b].astype("<u4").tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True))
 
 
 @lru_cache(1)

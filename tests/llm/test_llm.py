@@ -145,6 +145,45 @@ def test_word_ids_like_the_library():
     assert [x for x, a, b in zip(texts, found, expected, strict=True) if a != b] == []
 
 
+def test_words_go_to_the_library_once():
+    """A word is encoded once, however it is written beside punctuation, digits and capitals (op3's CPU seconds)."""
+    encoder = dac.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng, sent, library = random.Random(3), [], encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(x for text in texts for x in text.split())
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéж") for _ in range(7)) for _ in range(400)]
+    forms = ["{}", "{},", "({})", "{}.", '"{}"', "{}!?", "a-{}", "x/{}:", "7{}", "[{}];"]
+    texts = [" ".join(rng.choice(forms).format(rng.choice([str, str.capitalize])(w)) for w in rng.sample(words, 200)) for _ in range(40)]
+    expected = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.batch(texts)] == expected
+    # What else remains: capitals and openings beside letters of two bytes, and pieces of punctuation.
+    assert len(sent) == len(set(sent)) < 2 * len(words)
+
+
+def test_cut_texts_like_the_library():
+    """Capitals whose normal form differs from the small letter's, special tokens among others' capitals, marks after cuts."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, encoder, rng = Tokenizer.from_file(path), dac.WordEncoder(path, keep=2000), random.Random(11)
+    texts = ["H\u0331", "J\u030c.", "T\u0308a", "W\u030a,Y\u030a", "A\u02be", "I\u0307,", "a<\u0338b", "x=\u0338", "1\u03012", "<|ENDOFTEXT|>", "A<|endoftext|>B,c", "a<|Endoftext|>", "<|endoftext|", "&'s", "don't,'ll'D", "5's", "''s,", "é,É", "İ,i", "ª.", "\u0374,", "ж'ж"]
+    expected = {x: t.encode(x, add_special_tokens=False).ids for x in texts}
+    # An end of one text and a start of the next can look like a cut.
+    for some in (texts, [*reversed(texts)], ["a", ",", "B", "é", "", "1", "2", None, "'s"]):
+        found = [np.frombuffer(x, "<u4").tolist() for x in encoder.batch(some)]
+        assert found == [expected.get(x) or t.encode(x or "", add_special_tokens=False).ids for x in some]
+    parts = [*"aHJTWYIi,.<=/&(-'’15 \n\t", "'s", "'LL", "\u0331", "\u030c", "\u0308", "\u030a", "\u0307", "\u0338", "é", "É", "İ", "ж", "Σ", "日", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    expected = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    found = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), 256) for x in encoder.batch(texts[i : i + 256])]
+    assert [x for x, a, b in zip(texts, found, expected, strict=True) if a != b] == []
+
+
 def test_bpe_like_tiktoken(spark):
     import tiktoken
 
