@@ -16,12 +16,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import kept, lean
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -112,9 +113,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(1)
+@kept
 def shared_codec(path: str, pattern: str) -> Codec:
-    """One codec for each Python worker, which outlives a task."""
+    """One codec for each Python worker, which outlives a task of this operator."""
     return Codec(path, pattern)
 
 
@@ -132,7 +133,7 @@ def round_trips(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run, shared_codec), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -144,4 +145,4 @@ def tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             ids = [codec.encode(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([codec.decode(x).decode() for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run, shared_codec), "doc_id long, ids array<int>, decoded string")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -83,5 +85,35 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context).delete(path, True)
 
 
+#: What operators keep in a Python worker between tasks.
+CACHES: list = []
+
+
+def kept(make):
+    """``make`` with its last result kept in each Python worker, until a task of another operator is ``lean`` there."""
+    CACHES.append(lru_cache(1)(make))
+    return CACHES[-1]
+
+
+def forget(own=None) -> None:
+    """Empty what operators keep in this process, but for ``own``."""
+    for cache in CACHES:
+        if cache is not own:
+            cache.cache_clear()
+
+
+def lean(run, own=None):
+    """``run``, for mapInArrow: it first forgets what operators other than that of ``own`` keep in the worker, and Arrow returns its free memory at the end."""
+
+    def leaner(batches):
+        forget(own)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return leaner
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,13 +26,14 @@ from __future__ import annotations
 import math
 import string
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept, lean
+
 TABLE = bytes.maketrans(
     (string.ascii_uppercase + string.punctuation).encode(),
     string.ascii_lowercase.encode() + b" " * len(string.punctuation),
@@ -79,7 +80,7 @@ class Hasher:
         return out ^ out >> np.uint64(32)
 
 
-@lru_cache(1)
+@kept
 def hasher(words: int) -> Hasher:
     return Hasher(words)
 
@@ -156,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: floa
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_shared", "n_shingles"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_shared long, n_shingles long")
+        found = docs.select("doc_id", "text").mapInArrow(lean(run, hasher), "doc_id long, item_id long, n_shared long, n_shingles long")
         out = found if out is None else out.union(found)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
@@ -171,7 +172,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, thresho
             for batch in batches:
                 yield batch.filter(pa.array([not shared.value.matches(x.as_py()) for x in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run, hasher), docs.schema)
     return docs
 
 

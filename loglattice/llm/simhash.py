@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, lean, written
 
 PIVOTS = 16
 MASK = (1 << 64) - 1
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
             fps = np.fromiter((fingerprint(x.as_py(), words, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -167,7 +167,7 @@ def links(nodes: DataFrame, radius: int = 3, heavy: int = 50_000) -> DataFrame:
                 b.append(chain[1:])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
 
-    return routed.repartition("key").sortWithinPartitions("key").select("key", "fp", "rep", "pivots").mapInArrow(run, "a long, b long").distinct()
+    return routed.repartition("key").sortWithinPartitions("key").select("key", "fp", "rep", "pivots").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def measured(nodes: DataFrame) -> DataFrame:
             table = np.bitwise_count(own[:, None] ^ REFERENCES).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in table], pa.binary())], ["fp", "rep", "pivots"])
 
-    return nodes.mapInArrow(measure, "fp long, rep long, pivots binary")
+    return nodes.mapInArrow(lean(measure), "fp long, rep long, pivots binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
@@ -429,10 +429,10 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
         if waiting:
             yield from solve(pa.Table.from_batches(waiting), first, last)
 
-    sampled = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(listed, "key long")
+    sampled = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(lean(listed), "key long")
     often = sampled.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "key").limit(COMMON).select("key")
     common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
-    sketches = written(known.mapInArrow(sketch, "doc_id long, node long, fp long, size long, pivots binary, keys array<long>"), "copies-sketches", rows=500)
+    sketches = written(known.mapInArrow(lean(sketch), "doc_id long, node long, fp long, size long, pivots binary, keys array<long>"), "copies-sketches", rows=500)
     nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "pivots", "keys")]), "copies-nodes")
     keyed = nodes.select("node", "keys", F.posexplode("keys").alias("at", "key")).select("node", "at", "key", F.coalesce(F.get("keys", F.col("at") - 1), F.lit(0)).alias("before"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -451,16 +451,16 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
             mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
             live = live.join(mixed, "key", "left_semi")
         rows = live.select("key", "node", "at", "before", "root").join(nodes.select("node", "size", "pivots"), "node").select("key", "node", "root", "size", "at", "before", "pivots")
-        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(buckets, solve=may_meet, first=first, last=last), ", ".join(f"{c} {kind}" for c, kind in zip(dict(columns), ("long",) * 6 + ("int", "long", "binary"), strict=True)))
+        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(partial(buckets, solve=may_meet, first=first, last=last)), ", ".join(f"{c} {kind}" for c, kind in zip(dict(columns), ("long",) * 6 + ("int", "long", "binary"), strict=True)))
         near = written(found, "copies-candidates")
         used.append(near)
         if not near.limit(1).count():
             continue
         texts = known.join(nodes.join(near.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
         # An id of several texts brings sets that no row asks for; equal sets come once.
-        sets = written(texts.select("text").mapInArrow(hashes, "node long, shingles array<long>").dropDuplicates(["node"]), "copies-shingles", rows=200)
+        sets = written(texts.select("text").mapInArrow(lean(hashes), "node long, shingles array<long>").dropDuplicates(["node"]), "copies-shingles", rows=200)
         whole = near.join(sets, "node").select(*dict(columns), "shingles").repartition("key", "part").sortWithinPartitions("key", "part", "place")
-        exact = written(whole.mapInArrow(partial(buckets, solve=meet, first=first, last=last), "a long, b long").distinct(), "copies-links", rows=200)
+        exact = written(whole.mapInArrow(lean(partial(buckets, solve=meet, first=first, last=last)), "a long, b long").distinct(), "copies-links", rows=200)
         discard(sets)
         used.append(exact)
         if not exact.limit(1).count():

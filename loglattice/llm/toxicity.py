@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 ENDS = string.punctuation
 
@@ -135,7 +135,7 @@ def levelled(docs: DataFrame, model: Linear, prior: float, slack: float = 1.1) -
             z = np.fromiter((shared.value.logit(x.as_py()) for x in batch.column(0)), float, batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(np.rint(64 * np.clip(z - shared.value.bias, -40, 40)).astype(np.int64))], ["step"])
 
-    found = docs.select("text").mapInArrow(run, "step long").groupBy("step").agg(F.count("*").alias("n")).orderBy("step").collect()
+    found = docs.select("text").mapInArrow(lean(run), "step long").groupBy("step").agg(F.count("*").alias("n")).orderBy("step").collect()
     if not found:
         return model
     z, n = np.array([r["step"] / 64 for r in found]), np.array([r["n"] for r in found], float)
@@ -162,7 +162,7 @@ def drawn(docs: DataFrame, picked: list[tuple[int, int]], max_words: int, least_
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(features_of(x.as_py())) for x in batch.column(2)], pa.list_(pa.string()))], ["kind", "features"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(kinds), "doc_id").select("doc_id", "kind", "text").mapInArrow(run, "kind int, features array<string>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(kinds), "doc_id").select("doc_id", "kind", "text").mapInArrow(lean(run), "kind int, features array<string>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
     sizes = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
@@ -208,7 +208,7 @@ def scored(docs: DataFrame, model: Linear) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([shared.value.score(x.as_py()) for x in texts], pa.float64())], [*names, "score"])
 
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields) + ", score double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
@@ -228,4 +228,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
             keep = pa.array([shared.value.score(x.as_py()) < threshold for x in batch.column(at)], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

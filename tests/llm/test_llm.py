@@ -495,3 +495,27 @@ def test_pipeline(spark):
             assert not [r for r in out.collect() if re.search("[0-9a-f]{32,}", r.text)]
         kept = out
     assert corpus_pipeline.run(spark, sf_dir).count() == kept.count()
+
+
+@pytest.mark.parametrize("stage", ["simhash", "toxicity", "decontaminate", "bpe"])
+def test_a_task_drops_what_other_operators_keep_in_its_worker(spark, monkeypatch, stage):
+    """Workers go from stage to stage; each stage's function, run here, leaves no codec or hashes of another one."""
+    docs, given = table(spark, [(1, "alpha beta")]), []
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a: given.append(run) or real(self, run, *a))
+    benchmark = spark.createDataFrame([(1, "gamma delta")], "item_id long, text string")
+    {
+        "simhash": lambda: simhash.copies(docs, radius=3),
+        "toxicity": lambda: toxicity.without_toxic(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")),
+        "decontaminate": lambda: decontaminate.without_leaks(docs, benchmark),
+        "bpe": lambda: bpe.round_trips(docs, path, public_tokenizers.PATTERN),
+    }[stage]()
+    assert given
+    own = {"decontaminate": decontaminate.hasher, "bpe": bpe.shared_codec}.get(stage)
+    for run in given:
+        bpe.shared_codec(path, public_tokenizers.PATTERN).encode("alpha beta")
+        decontaminate.hasher(5)([b"alpha"])
+        assert not list(run(iter(())))
+        assert [x.cache_info().currsize for x in (bpe.shared_codec, decontaminate.hasher)] == [int(x is own) for x in (bpe.shared_codec, decontaminate.hasher)]
+    bpe.shared_codec.cache_clear(), decontaminate.hasher.cache_clear()
